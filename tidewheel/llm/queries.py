@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import lookalike, mojibake
+from tidewheel.llm import copies, lookalike, mojibake, seen, survivor
 from tidewheel.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,62 @@ def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify(titles, "text", keys, _garble_tokens(spark, [titles])).unionByName(lookalike.unify(names, "text", keys))
 
 
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_survivors(spark, d).select("group_id", "email_seq", "time_seq", "url_seq")
+
+
+@query
+def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """The surviving record of each group, with where each field comes from."""
+    return survivor.best_fields(table(spark, d, "user_groups"), table(spark, d, "user_records"), table(spark, d, "source_trust"))
+
+
+PAGE_KEY = {"url": copies.bare_address}
+USER_KEY = {"id": lambda c: c, "name": copies.bare_name, "email": copies.bare, "source_url": copies.bare_address}
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = copies.copies_of_first(table(spark, d, "page_content").where(F.col("url").isNotNull()), PAGE_KEY)
+    users = copies.copies_of_first(table(spark, d, "user_records"), USER_KEY)
+    named = [df.select(F.lit(n).alias("table_name"), "first_seq", "seq") for n, df in (("page_content", pages), ("user_records", users))]
+    return named[0].unionByName(named[1])
+
+
+@query
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    """One row per page or record, with the number of its copies; pages without a url each stand alone."""
+    pages = table(spark, d, "page_content")
+    _, of_pages = copies.collapse(pages.where(F.col("url").isNotNull()), PAGE_KEY)
+    _, of_users = copies.collapse(table(spark, d, "user_records"), USER_KEY)
+    alone = pages.where(F.col("url").isNull()).select(F.lit("page_content").alias("table_name"), F.col("seq").alias("first_seq"), F.lit(1).cast("long").alias("copies"))
+    named = [df.select(F.lit(n).alias("table_name"), "first_seq", "copies") for n, df in (("page_content", of_pages), ("user_records", of_users))]
+    return named[0].unionByName(named[1]).unionByName(alone)
+
+
+def _seen(spark: SparkSession, d: str) -> DataFrame:
+    key = lambda n, c="url": table(spark, d, n).select("seq", F.col(c).alias("key"))
+    return seen.checked(seen.answers([key("crawl_seeds", "uri"), key("page_content")], key("page_data")), 2)
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _seen(spark, d).where((F.col("rank") == 2) & F.col("seen")).select("seq")
+
+
+@query
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of the filters, wrong ones among them, and the rate measured with keys known to be absent."""
+    ours = F.col("rank") == 2
+    wrong = F.count_if(ours & F.col("maybe") & ~F.col("seen"))
+    return _seen(spark, d).agg(
+        F.count_if(ours).alias("asked"), F.count_if(ours & F.col("maybe")).alias("said_yes"), wrong.alias("wrong"),
+        (wrong / F.greatest(F.count_if(ours & ~F.col("seen")), F.lit(1))).alias("wrong_share_of_new"), (wrong / F.greatest(F.count_if(ours), F.lit(1))).alias("wrong_share"),
+        F.sum("probes").alias("absent_asked"), (F.sum("hits") / F.sum("probes")).alias("absent_rate"), F.lit(0.001).alias("target_rate"),
+    )
+
+
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_restored(spark, d).select("table_name", "seq")
@@ -61,3 +117,52 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
     pages, data = _titles(spark, d, "page_content", "page_data")
     shared = _garble_tokens(spark, [pages, data])
     return mojibake.mark_garbled(pages.unionByName(data), "text", ["table_name", "seq"], shared)
+
+
+def _sql_bare(c: str) -> str:
+    return rf"regexp_replace(lower({c}), '[\s\x85\p{{Z}}\p{{P}}$+<=>^`|~]+', '', 'g')"
+
+
+def _sql_address(c: str) -> str:
+    fields = f"list_transform(string_split_regex(regexp_extract({c}, '(?s)^[^?]*\\?(.*)$', 1), '[&;#]'), lambda f: {_sql_bare("split_part(f, '=', 1)")} || chr(30) || {_sql_bare("substr(f, length(split_part(f, '=', 1)) + 2)")})"
+    return f"{_sql_bare(f"split_part({c}, '?', 1)")} || chr(29) || array_to_string(list_sort(list_filter({fields}, lambda f: f <> chr(30))), chr(31))"
+
+
+_SQL_NAME = r"array_to_string(list_sort(list_filter(list_transform(string_split_regex(lower(name), '(?:[\s\x85\p{Z}\p{Pd}\p{Ps}\p{Pe}\p{Pc}$+<=>^`|~!-&*-/:;?@\\¡§¶·¿…、。])+'), lambda p: regexp_replace(p, '\p{P}', '', 'g')), lambda p: p <> '')), ' ')"
+
+_SQL_KEYS = f"""WITH keyed AS (
+    SELECT 'page_content' AS table_name, seq, NULL::BIGINT AS id, {_sql_address("url")} AS a, NULL AS b, NULL AS c FROM page_content WHERE url IS NOT NULL
+    UNION ALL
+    SELECT 'user_records', seq, id, {_SQL_NAME}, {_sql_bare("email")}, {_sql_address("source_url")} FROM user_records
+)"""
+
+ORACLES["p4_found"] = f"""{_SQL_KEYS}, firsts AS (SELECT table_name, seq, min(seq) OVER (PARTITION BY table_name, id, a, b, c) AS first_seq FROM keyed)
+SELECT table_name, first_seq, seq FROM firsts WHERE seq <> first_seq"""
+
+ORACLES["p4_records"] = f"""{_SQL_KEYS}
+SELECT table_name, min(seq) AS first_seq, count(*) AS copies FROM keyed GROUP BY table_name, id, a, b, c
+UNION ALL SELECT 'page_content', seq, 1 FROM page_content WHERE url IS NULL"""
+
+ORACLES["p6_found"] = """WITH keys AS (
+    SELECT 0 AS rank, seq, uri AS key FROM crawl_seeds UNION ALL SELECT 1, seq, url FROM page_content UNION ALL SELECT 2, seq, url FROM page_data
+), numbered AS (SELECT rank, seq, row_number() OVER (PARTITION BY key ORDER BY rank, seq) AS n FROM keys WHERE key IS NOT NULL)
+SELECT seq FROM numbered WHERE rank = 2 AND n > 1"""
+
+_SQL_SURVIVORS = r"""WITH trusted AS (SELECT lower(trim(host)) AS host, max(trust) AS trust FROM source_trust GROUP BY 1),
+rows AS (
+    SELECT g.group_id, r.seq, r.email, r.source_url, CASE WHEN r.processed_at >= TIMESTAMP '2024-01-01' AND r.processed_at < TIMESTAMP '2026-01-01' THEN r.processed_at END AS t,
+        lower(regexp_extract(regexp_replace(r.source_url, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '(?is)^https?://(?:[^/?#@\s]*@)?([\p{L}\p{N}](?:[\p{L}\p{N}.-]*[\p{L}\p{N}])?)\.?(?::\d+)?(?:[/?#].*)?$', 1)) AS host,
+        lower(regexp_replace(r.email, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS mail
+    FROM user_groups g JOIN user_records r USING (seq)
+), judged AS (
+    SELECT rows.*, CASE WHEN coalesce(rows.host, '') <> '' THEN coalesce(trusted.trust, 0) ELSE 0 END AS level,
+        regexp_matches(mail, '^[^\s@,;:<>()\[\]"*…?#/\\]+@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?)+$') AND NOT regexp_matches(mail, '\.\.|^\.|\.@|^x+@|@x+\.')
+        AND split_part(mail, '@', 1) NOT IN ('none', 'null', 'nan', 'na', 'unknown', 'hidden', 'redacted', 'noemail', 'noreply', 'example', 'invalid', 'xxx', 'xxxx', 'test') AS mail_ok
+    FROM rows LEFT JOIN trusted USING (host)
+), e AS (SELECT group_id, seq, email FROM judged WHERE mail_ok QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY level DESC, t DESC NULLS LAST, seq) = 1),
+u AS (SELECT group_id, seq, source_url FROM judged WHERE coalesce(host, '') <> '' QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY level DESC, t DESC NULLS LAST, seq) = 1),
+p AS (SELECT group_id, seq, t FROM judged WHERE t IS NOT NULL QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY t DESC, seq) = 1),
+g AS (SELECT DISTINCT group_id FROM user_groups)
+"""
+ORACLES["p2_found"] = _SQL_SURVIVORS + "SELECT g.group_id, e.seq AS email_seq, p.seq AS time_seq, u.seq AS url_seq FROM g LEFT JOIN e USING (group_id) LEFT JOIN p USING (group_id) LEFT JOIN u USING (group_id)"
+ORACLES["p2_survivors"] = _SQL_SURVIVORS + "SELECT g.group_id, e.seq AS email_seq, p.seq AS time_seq, u.seq AS url_seq, e.email, p.t AS processed_at, u.source_url FROM g LEFT JOIN e USING (group_id) LEFT JOIN p USING (group_id) LEFT JOIN u USING (group_id)"
