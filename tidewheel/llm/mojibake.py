@@ -169,15 +169,16 @@ class Detector:
                 continue
             if d and all(ord(c) > 127 and (c.isalpha() or 0x2010 <= ord(c) <= 0x203A or 0xA0 <= ord(c) < 0xC0) for c in d):
                 out.append(Span(m.start(), m.end(), d))
-        out += [s for s in by_kind["utf7"] if not any(o.start <= s.start < o.end for o in out)]
+        out += by_kind["utf7"]
         out += _by_pair(by_kind["utf8"], lambda found: self._utf8(text, found))
         out += _by_pair(by_kind["wide"], lambda found: self._wide(text, found))
         words = sorted(by_kind["token"], key=lambda s: -self.tokens.get(s.fixed, 0))
         out += _by_pair(words, lambda found: found)
         out += by_kind["lost"]
-        kept: list[Span] = []
+        kept, taken = [], bytearray(len(text))
         for s in out:  # what was found first explains more
-            if not any(s.start < o.end and o.start < s.end for o in kept):
+            if not any(taken[s.start : s.end]):
+                taken[s.start : s.end] = b"\x01" * (s.end - s.start)
                 kept.append(s)
         return sorted(kept, key=lambda s: s.start)
 

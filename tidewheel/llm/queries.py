@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import copies, lookalike, mojibake, seen, survivor
+from tidewheel.llm import copies, lookalike, mixing, mojibake, readability, seen, survivor, tokens
 from tidewheel.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,37 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.mark_garbled(pages.unionByName(data), "text", ["table_name", "seq"], shared)
 
 
+@query
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"), "text", ["doc_id"])
+
+
+def _mix_plan(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict]]:
+    targets = table(spark, d, "mix_targets")
+    documents = table(spark, d, "documents").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    counted = tokens.count_tokens(documents, "text", ["doc_id", "source"]).withColumn("weight", F.lit(1.0))
+    sizes = mixing.sized(counted, targets)
+    return sizes, mixing.allot(sizes, targets)
+
+
+@query
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents with their repeats."""
+    return mixing.mix(*_mix_plan(spark, d))
+
+
+@query
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    sizes, plan = _mix_plan(spark, d)
+    return mixing.shares(mixing.mix(sizes, plan), plan)
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return readability.read_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
 def _sql_bare(c: str) -> str:
     return rf"regexp_replace(lower({c}), '[\s\x85\p{{Z}}\p{{P}}$+<=>^`|~]+', '', 'g')"
 
