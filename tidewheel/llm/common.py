@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidewheel.sources.shared import cut
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where the session names none (tests)."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if set_to:
-        return set_to.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = os.path.join(tempfile.gettempdir(), f"tidewheel-{os.getpid()}")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once into the shared folder and reads it back: what follows no longer depends on its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "map_distinct", "text_of"]
 
 
 def text_of(df: DataFrame, column: str):
@@ -44,7 +26,3 @@ def map_distinct(texts: pa.Array, one: Callable[[str], object]) -> list:
     done = [one(x) for x in coded.dictionary.to_pylist()]
     return [None if i is None else done[i] for i in coded.indices.to_pylist()]
 
-
-def map_batches(df: DataFrame, schema: str, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """A narrow Arrow map: no exchange, one pass over each partition."""
-    return df.mapInArrow(work, schema)

@@ -215,7 +215,7 @@ class Detector:
     def _wide(self, text: str, spans: list[Span]) -> Iterable[Span]:
         for run in self._runs(spans):
             start, end = run[0].start, run[-1].end
-            odd = sum(1 for c in text[start:end] if not c.isascii() and not (c.isalpha() and ord(c) < 0x250 and c.islower()))
+            odd = sum(1 for c in text[start:end] if not c.isascii() and not (c.isalpha() and ord(c) < 0x250 and c.islower() and c != "ƒ"))
             if len(run) > 1 and odd >= 2 and self._boundary_non_latin(text, start, end):
                 yield from run
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import copies, lookalike, mixing, mojibake, readability, seen, survivor, tokens
+from tidewheel.llm import copies, lookalike, mixing, mojibake, readability, residue, seen, survivor, tokens
 from tidewheel.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,21 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivor.best_fields(table(spark, d, "user_groups"), table(spark, d, "user_records"), table(spark, d, "source_trust"))
 
 
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pages, data = _titles(spark, d, "page_content", "page_data")
+    both = pages.unionByName(data)
+    prose = spark.sparkContext.broadcast(residue.prose_counts(both))
+    return residue.mark_residue(both, ["table_name", "seq"], prose, _garble_tokens(spark, [pages, data]))
+
+
+@query
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The rows with real titles, or none: what is left without those of ``p3_found``."""
+    pages, data = _titles(spark, d, "page_content", "page_data")
+    return pages.unionByName(data).select("table_name", "seq").join(p3_found(spark, d), ["table_name", "seq"], "left_anti")
+
+
 PAGE_KEY = {"url": copies.bare_address}
 USER_KEY = {"id": lambda c: c, "name": copies.bare_name, "email": copies.bare, "source_url": copies.bare_address}
 
