@@ -13,7 +13,6 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 # Elements that never have content.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -163,10 +162,8 @@ def elements(html: Column, fields: dict[str, Field], many: bool = True) -> Colum
 
     A row without a required field is left out (``many``) or null. A null page gives null.
     """
-    ddl = ", ".join(f"{k} {f.kind}" for k, f in fields.items())
     compiled = {k: compile_css(f.css) for k, f in fields.items()}
     row_type = f"struct<{', '.join(f'{k}:{f.kind}' for k, f in fields.items())}>"
-    assert StructType.fromDDL(ddl)
 
     def rows_of(page):
         nodes = parse(page)
@@ -175,16 +172,14 @@ def elements(html: Column, fields: dict[str, Field], many: bool = True) -> Colum
         rows = [{k: c[i] if i < len(c) else None for k, c in columns.items()} for i in range(size)]
         return [r for r in rows if all(r[k] is not None for k, f in fields.items() if f.required)]
 
-    @F.pandas_udf(f"array<{row_type}>")
     def run(pages: pd.Series) -> pd.Series:
         return pages.map(lambda p: None if p is None else rows_of(p))
 
-    out = run(html)
+    out = F.pandas_udf(run, f"array<{row_type}>")(html)
     return out if many else F.get(out, F.lit(0))
 
 
-@F.pandas_udf("struct<title:string,text:string>")
-def _view(pages: pd.Series) -> pd.DataFrame:
+def _views(pages: pd.Series) -> pd.DataFrame:
     out = []
     for p in pages:
         if p is None:
@@ -199,5 +194,5 @@ def _view(pages: pd.Series) -> pd.DataFrame:
 
 def view(html: Column, url: Column) -> Column:
     """struct(title, source, current_url, text) of a stored page."""
-    v = _view(html)
+    v = F.pandas_udf(_views, "struct<title:string,text:string>")(html)
     return F.struct(v["title"].alias("title"), html.alias("source"), url.alias("current_url"), v["text"].alias("text"))

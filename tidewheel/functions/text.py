@@ -55,4 +55,4 @@ def truncate_bytes(s: Column, limit: int) -> Column:
     """At most ``limit`` bytes, cut before a character rather than inside it."""
     raw = s.cast("binary")
     cuts = [F.try_validate_utf8(F.substring(raw, 1, max(0, limit - k)).cast("string")) for k in range(4)]
-    return F.when(F.octet_length(raw) <= limit, s.cast("string")).otherwise(F.coalesce(*cuts, F.lit("")))
+    return F.when(F.octet_length(raw) <= limit, s.cast("string")).when(raw.isNotNull(), F.coalesce(*cuts, F.lit("")))

@@ -11,15 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions.text import WHITE
+from tidewheel.sources.shared import cut
 from tidewheel.schemas import REQUEST_DDL, TAG, as_tag, depth_or_first, is_fallback, next_depth, schema, tag_or_fallback
 
 #: A URI has no white space or controls and is absolute, or a path.
-_URI = rf"^[^{WHITE}\x00-\x1f<>\"\\^`{{|}}]+$"
+_URI = rf"^[^{WHITE}\x00-\x1f<>\"\\^`{{|}}]+\z"
 
 
 def valid_uri(uri: Column) -> Column:
     """Whether ``uri`` can be requested: no white space, and a scheme's ``://`` is followed by a host."""
-    return F.coalesce(uri.rlike(_URI) & ~uri.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[/?#]|$)"), F.lit(False))
+    return F.coalesce(uri.rlike(_URI) & ~uri.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[/?#]|\z)"), F.lit(False))
 
 
 def from_urls(df: DataFrame, url: str = "uri", seq: str | None = None) -> DataFrame:
@@ -101,14 +102,16 @@ def settle(requests: DataFrame) -> DataFrame:
     return requests.withColumns({"tag": tag_or_fallback(F.col("tag")), "depth": depth_or_first(F.col("depth"))})
 
 
-def ordered_by(df: DataFrame, *order: Column, start: int = 0, name: str = "seq") -> DataFrame:
+def ordered_by(df: DataFrame, *order: Column, start: int = 0, name: str = "seq", written: bool = False) -> DataFrame:
     """``df`` with a dense place in ``order``, from ``start`` + 1, without gathering the rows in one task.
 
     Rows are sorted by range; each partition's rows are counted, the counts (one per partition) come to the driver, and
     each row gets its partition's offset plus its place in it. Ties keep an arbitrary order, so give a total one.
+    ``written``: the sorted rows are written to the shared folder, so that they are sorted once.
     """
     spark = df.sparkSession
     part = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    part = cut(part) if written else part
     counts = {r["_part"]: r["count"] for r in part.groupBy("_part").count().collect()}
     offsets, total = [], start
     for p in sorted(counts):

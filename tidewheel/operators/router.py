@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import partial
+from functools import lru_cache, partial
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions import flow as flows
-from tidewheel.schemas import FLOW, key_of, tag_key
+from tidewheel.functions.errors import from_message
+from tidewheel.schemas import FLOW, TAG, fallback_tag, key_of, tag_key
 
 
 @dataclass
@@ -95,20 +97,25 @@ class Router:
 
     def layer(self, layer: Layer) -> Router:
         """Wraps the routes there are, not the fallback and none added later."""
-        self._routes = {k: _wrapped(layer, h) for k, h in self._routes.items()}
+        wrapped = {id(h): _wrapped(layer, h) for h in self._routes.values()}
+        self._routes = {k: wrapped[id(h)] for k, h in self._routes.items()}
         return self
 
     def with_state(self, state) -> Router:
         """Handlers that take ``state`` get it, the fallback included."""
         give = lambda h: _with_state(h, state)
-        self._routes = {k: give(h) for k, h in self._routes.items()}
+        given = {id(h): give(h) for h in self._routes.values()}
+        self._routes = {k: given[id(h)] for k, h in self._routes.items()}
         self._fallback = give(self._fallback) if self._fallback else None
         return self
 
     def branches(self, rows: DataFrame) -> list[tuple[str, Handler, DataFrame]]:
-        """(tag key, handler, its rows) of each route and the fallback. The key is worked out once, in a column."""
+        """(tag keys, handler, its rows) of each handler and of the fallback. Routes with one handler are one branch."""
         keyed = rows if "tag_key" in rows.columns else rows.withColumn("tag_key", tag_key(F.col("tag")))
-        out = [(k, h, keyed.where(F.col("tag_key") == k)) for k, h in self._routes.items()]
+        by: dict[int, tuple[Handler, list[str]]] = {}
+        for k, h in self._routes.items():
+            by.setdefault(id(h), (h, []))[1].append(k)
+        out = [(",".join(keys), h, keyed.where(F.col("tag_key").isin(*keys))) for h, keys in by.values()]
         rest = keyed.where(~F.col("tag_key").isin(*self._routes)) if self._routes else keyed
         return [*out, ("fallback", self._fallback or constant(flows.proceed()), rest)]
 
@@ -140,14 +147,18 @@ def _with_state(handler: Handler, state) -> Handler:
     return partial(handler, state=state) if takes else handler
 
 
+@lru_cache(maxsize=4)
+def _failure(_jvm: int) -> tuple[Column, Column]:
+    """The flow of a failed connection and whom it is laid to; built once a session."""
+    return flows.from_error(from_message(F.col("connect_error"))), fallback_tag().cast(TAG)
+
+
 def outcome_rows(rows: DataFrame, handled: Handled) -> DataFrame:
     """(seq, owner, flow, counted_as, is_error) of each row of a branch; a failed connection holds, on behalf of the fallback."""
-    from tidewheel.functions.errors import from_message
-    from tidewheel.schemas import TAG, fallback_tag
-
     failed = F.col("connect_error").isNotNull()
-    flow = F.when(failed, flows.from_error(from_message(F.col("connect_error")))).otherwise(handled.flow if handled.flow is not None else flows.proceed()).cast(FLOW)
-    owner = F.when(failed, fallback_tag().cast(TAG)).otherwise(F.col("tag"))
+    at_failure, nobody = _failure(id(SparkContext._jvm))
+    flow = F.when(failed, at_failure).otherwise(handled.flow if handled.flow is not None else flows.proceed()).cast(FLOW)
+    owner = F.when(failed, nobody).otherwise(F.col("tag"))
     error = failed | (handled.is_error if handled.is_error is not None else F.lit(False))
     out = rows.select("seq", owner.alias("owner"), flow.alias("flow"), F.coalesce(error, F.lit(False)).alias("is_error"), F.col("connect_error"))
     return out.withColumn("counted_as", flows.counted_as(F.col("flow")["kind"]))

@@ -137,7 +137,7 @@ class Client:
 
     def _place(self, children: DataFrame, level: DataFrame, after: int) -> DataFrame:
         """Children in queue order: by their parent's place, then by their place among its children."""
-        placed = frontier.ordered_by(children.drop("seq"), F.col("parent_seq"), F.col("child_pos"), F.col("uri"), start=after)
+        placed = frontier.ordered_by(children.drop("seq"), F.col("parent_seq"), F.col("child_pos"), F.col("uri"), start=after, written=True)
         if self.order == "lifo":
             paths = level.select(F.col("seq").alias("parent_seq"), F.col("path").alias("_up"))
             placed = placed.join(paths, "parent_seq", "left").withColumn("path", F.concat(F.coalesce(F.col("_up"), F.array().cast("array<bigint>")), F.array(-F.col("seq")))).drop("_up")
@@ -199,8 +199,8 @@ class Client:
             if self.dedup == "uri":
                 seen = done.select("uri")
                 visited = seen if visited is None else cut(visited.unionByName(seen))
-                nxt = frontier.unseen(nxt, visited).select(*nxt.columns)
-            level = cut(nxt)
+                nxt = cut(frontier.unseen(nxt, visited).select(*nxt.columns))
+            level = nxt
         union = lambda parts, ddl: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else self.spark.createDataFrame([], schema(ddl))
         made = {k: union(v, "seq bigint") for k, v in rows.items()}
         for k, df in made.items():
