@@ -24,7 +24,9 @@ _SHAPE = "source string, target_share double, max_repeats int, available long, n
 def sized(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """Documents (``doc_id, source, n_tokens`` and perhaps ``weight``) of listed sources that have any tokens, written once."""
     listed = F.broadcast(targets.limit(MOST_TARGETS).select("source").where(F.col("source").isNotNull()).distinct())
-    return cut(documents.where(F.col("n_tokens") > 0).join(listed, "source", "left_semi"))
+    weight = F.col("weight") if "weight" in documents.columns else F.lit(1.0)
+    own = documents.where(F.col("n_tokens") > 0).select("doc_id", "source", "n_tokens", weight.cast("double").alias("weight"))
+    return cut(own.join(listed, "source", "left_semi"))
 
 
 def allot(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> list[dict]:

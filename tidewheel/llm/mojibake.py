@@ -36,6 +36,7 @@ WIDE_READ_AS = ("cp1252", "latin_1", "cp437", "cp850", "mac_roman")
 
 SPLIT = r"[\s\-.,:;!?|()\[\]{}/\"'<>=&#%*]+"
 _TOKEN = re.compile(r"[^\s\-.,:;!?|()\[\]{}/\"'<>=&#%*]+")
+_REACH = 64
 _BREAKS = frozenset(" -.,:;!?|()[]{}/\"'<>=&#%*")
 _UTF7 = re.compile(r"\+([A-Za-z0-9+/]{3,})-?")
 _ENTITY = re.compile(r"&[A-Za-z]{2,8}\d?;")
@@ -138,9 +139,11 @@ class Detector:
         return (start == 0 or text[start - 1] in _BREAKS or text[start - 1].isspace()) and (end == len(text) or text[end] in _BREAKS or text[end].isspace())
 
     def _token_at(self, text: str, start: int, end: int) -> tuple[int, int]:
-        while start and _TOKEN.fullmatch(text[start - 1]):
+        """The token around a span, as far as ``_REACH`` characters to each side."""
+        first, last = max(0, start - _REACH), min(len(text), end + _REACH)
+        while start > first and _TOKEN.fullmatch(text[start - 1]):
             start -= 1
-        while end < len(text) and _TOKEN.fullmatch(text[end]):
+        while end < last and _TOKEN.fullmatch(text[end]):
             end += 1
         return start, end
 

@@ -31,7 +31,6 @@ FIT_ROWS = 50_000
 #: A sentence below this length is a call or an answer and says nothing about the style, unless there are no others.
 SHORT = 4
 
-_TIMED = re.compile(r"(?:^|\n)[^\n]*--+>[^\n]*(?=\n|$)")
 _NUMBER = re.compile(r"\n[^\S\n]*\d+[^\S\n]*$")
 _FRAMED = re.compile(r"^﻿?[^\S\n]*\{\d*\}\{\d*\}(.*)$", re.M)
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,60}>|\{\\[^{}\n]{0,40}\}|\{[A-Za-z]:[^{}\n]*\}")
@@ -71,7 +70,11 @@ def speech(text: str) -> str:
         text = "\n".join(_PLAIN.repair(x)[1] if _GARBLED.search(x) else x for x in text.split("\n"))
     text = text.replace("\xa0", " ")
     if "->" in text:
-        cues = [_NUMBER.sub("", c.rstrip()) for c in _TIMED.split(text)[1:]]
+        cues = []
+        lines = text.split("\n")
+        times = [i for i, x in enumerate(lines) if "->" in x and any(c.isdigit() for c in x)]
+        for at, end in zip(times, [*times[1:], len(lines)]):
+            cues.append(_NUMBER.sub("", "\n".join(["", *lines[at + 1 : end]]).rstrip()))
     elif "{" in text:
         cues = [c.replace("|", "\n") for c in _FRAMED.findall(text)]
     else:
