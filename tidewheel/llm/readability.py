@@ -47,7 +47,7 @@ _MARKS = ahocorasick.Automaton()
 for _m in (*ADVERT_MARKS, "@", *(d + e for d in (".", ". ") for e in HOST_ENDS)):
     _MARKS.add_word(_m, _m)
 _MARKS.make_automaton()
-_GARBLED = re.compile(r"[\x80-\x9f�©®±¼½¾¤§¨ª¬¯´¶¸¹²³µºƒ†‡•‰‹›€™√∂∏∑∞∫≈≠≤≥─-▓Ђ-Џђ-џÃÂÐÑâ]|&[A-Za-z]{2,6};|\+[A-Za-z0-9+/]{2,}-")
+_GARBLED = re.compile(r"[\x80-\x9f�©®±¼½¾¤§¨ª¬¯´¶¸¹²³µºƒ†‡•‰‹›€™√∂∏∑∞∫≈≠≤≥─-▓Ђ-Џђ-џÃÂÐÑâ]|&[A-Za-z]{2,6};|\+[A-Za-z0-9+/]{2,40}-")
 _SENTENCE = re.compile(r"[.!?…]+|\n\n+-")
 _WORD = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*")
 _PLAIN = Detector({})
