@@ -173,8 +173,9 @@ class Detector:
             if d and all(ord(c) > 127 and (c.isalpha() or 0x2010 <= ord(c) <= 0x203A or 0xA0 <= ord(c) < 0xC0) for c in d):
                 out.append(Span(m.start(), m.end(), d))
         out += by_kind["utf7"]
-        out += _by_pair(by_kind["utf8"], lambda found: self._utf8(text, found))
-        out += _by_pair(by_kind["wide"], lambda found: self._wide(text, found))
+        narrow = _by_pair(by_kind["utf8"], lambda found: self._utf8(text, found))
+        wide = _by_pair(by_kind["wide"], lambda found: self._wide(text, found))
+        out += narrow + wide if _most(narrow) >= _most(wide) else wide + narrow
         words = sorted(by_kind["token"], key=lambda s: -self.tokens.get(s.fixed, 0))
         out += _by_pair(words, lambda found: found)
         out += by_kind["lost"]
@@ -200,6 +201,8 @@ class Detector:
             yield run
 
     def _utf8(self, text: str, spans: list[Span]) -> Iterable[Span]:
+        """Spans of one pair of encodings. Where one run is certain, doubtful ones of the same pair are believed."""
+        doubtful, sure = [], []
         for run in self._runs(spans):
             start, end = run[0].start, run[-1].end
             seen = text[start:end]
@@ -213,7 +216,10 @@ class Detector:
             if not certain and blank:
                 certain = any(self._known(x) for x in _TOKEN.findall(text[a:start] + "".join(s.fixed for s in run) + text[end:b]) if not x.isascii())
             if certain:
-                yield from run
+                sure += run
+            elif not blank:
+                doubtful += run
+        return sure + doubtful if sure else []
 
     def _wide(self, text: str, spans: list[Span]) -> Iterable[Span]:
         for run in self._runs(spans):
@@ -254,6 +260,14 @@ class Detector:
         return garbled, text, whole
 
 
+def _most(spans: list[Span]) -> int:
+    """Characters that the best pair explains."""
+    by: dict[str, int] = {}
+    for s in spans:
+        by[s.pair] = by.get(s.pair, 0) + s.end - s.start
+    return max(by.values(), default=0)
+
+
 def _by_pair(spans: list[Span], keep) -> list[Span]:
     """What ``keep`` leaves of each pair of encodings; pairs that explain more of the text come first."""
     if not spans:

@@ -202,7 +202,7 @@ rows AS (
     FROM user_groups g JOIN user_records r USING (seq)
 ), judged AS (
     SELECT rows.*, CASE WHEN coalesce(rows.host, '') <> '' THEN coalesce(trusted.trust, 0) ELSE 0 END AS level,
-        regexp_matches(mail, '^[^\s@,;:<>()\[\]"*…?#/\\]+@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?)+$') AND NOT regexp_matches(mail, '\.\.|^\.|\.@|^x+@|@x+\.')
+        regexp_matches(mail, '^[^\s@,;:<>()\[\]"*…?#/\\]+@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?)+$') AND NOT regexp_matches(mail, '\.\.|^\.|\.@|^xx+@|@xx+\.')
         AND split_part(mail, '@', 1) NOT IN ('none', 'null', 'nan', 'na', 'unknown', 'hidden', 'redacted', 'noemail', 'noreply', 'example', 'invalid', 'xxx', 'xxxx', 'test') AS mail_ok
     FROM rows LEFT JOIN trusted USING (host)
 ), e AS (SELECT group_id, seq, email FROM judged WHERE mail_ok QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY level DESC, t DESC NULLS LAST, seq) = 1),

@@ -21,7 +21,7 @@ def usable_email(c: Column) -> Column:
     t = F.lower(trimmed(c))
     local = F.split_part(t, F.lit("@"), F.lit(1))
     shaped = t.rlike(r"^[^\s@,;:<>()\[\]\"*…?#/\\]+@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?)+$")
-    whole = ~t.rlike(r"\.\.|^\.|\.@|^x+@|@x+\.") & ~local.isin(*STAND_INS)
+    whole = ~t.rlike(r"\.\.|^\.|\.@|^xx+@|@xx+\.") & ~local.isin(*STAND_INS)
     # An address has 254 characters at most; longer texts are not matched at all.
     return F.when(F.length(t) <= 254, F.coalesce(shaped & whole, F.lit(False))).otherwise(False)
 
