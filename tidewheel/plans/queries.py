@@ -16,6 +16,7 @@ from tidewheel.operators.router import Handled, Router, children_of, constant
 from tidewheel.plans.crawl import Client
 from tidewheel.schemas import FLOW, TAG, as_tag, fallback_tag, tag_key, tag_str
 from tidewheel.sources.backends import NoopBackend, TableBackend
+from tidewheel.sources.browser import PoolConfig
 from tidewheel.sources.shared import shared_folder
 from tidewheel.sources.tables import table
 
@@ -139,6 +140,21 @@ def page_elements(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("seq", found.alias("e")).select("seq", "e.heading", "e.href")
 
 
+@query("""SELECT url, CAST(content_length AS BIGINT) AS content_length, title, 'rendered page' AS processing_method FROM (
+    SELECT 'https://h.test/' || c_custkey AS url, c_name AS title, strlen('<html><head><title>' || c_name || '</title></head><body>' || c_mktsegment || '</body></html>') AS content_length FROM customer)""")
+def browser_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows a browser handler writes, from rendered pages: title and source length by their view."""
+    url, html = F.concat(F.lit("https://h.test/"), F.col("c_custkey").cast("string")), F.concat(F.lit("<html><head><title>"), "c_name", F.lit("</title></head><body>"), "c_mktsegment", F.lit("</body></html>"))
+    pages = table(spark, d, "customer").select(F.col("c_custkey").alias("seq"), url.alias("uri"), html.alias("html"))
+
+    def handler(rows: DataFrame) -> Handled:
+        v = select.view(extract.html().value, F.col("uri"))
+        return Handled(rows={"browser": rows.select(v.alias("v")).select(F.col("v.current_url").alias("url"), text.byte_length(F.col("v.source")).alias("content_length"), F.col("v.title").alias("title"), F.lit("rendered page").alias("processing_method"))})
+
+    backend = PoolConfig().with_unmanaged("http://127.0.0.1:4444").build(pages.select("uri", "html"))
+    return Client(spark, Router().fallback(handler), backend).run_once(pages.select("seq", "uri")).rows["browser"]
+
+
 # --- frontier --------------------------------------------------------------------------------------------------------
 
 
