@@ -16,15 +16,13 @@ def shared_folder(spark: SparkSession) -> str:
         return set_to.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = os.path.join(tempfile.gettempdir(), f"tidewheel-{os.getpid()}")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return os.path.join(tempfile.gettempdir(), f"tidewheel-{os.getpid()}")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` once into the shared folder and reads it back: what follows no longer depends on its lineage.
 
-    An executor that is lost takes nothing with it.
+    An executor that is lost takes nothing with it. Tables stay until the folder is emptied, as results may still read them.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
