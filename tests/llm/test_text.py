@@ -67,7 +67,7 @@ def test_twice_and_in_part_and_entities_and_utf7(garble):
     assert garble.repair("f�r") == (True, "f�r", False)
 
 
-@pytest.mark.parametrize("text", ["", "plain", "C++ and A+B", "R&D &amp; x", "LIÇÕES DE PÃO E IRMÃ", "MAÇÃ, LÃ E NAÇÃO", "ещё одна зелёная", "Гёте", "Straße", "20 °C", "ＬÃ Ｅ", "naïve café", "日本語", "한국어"])
+@pytest.mark.parametrize("text", ["", "plain", "C++ and A+B", "R&D &amp; x", "LIÇÕES DE PÃO E IRMÃ", "MAÇÃ, LÃ E NAÇÃO", "PÃO E IRMÃ…", "MAÇÃ™", "a manhã™", "ещё одна зелёная", "Гёте", "Straße", "20 °C", "ＬÃ Ｅ", "naïve café", "日本語", "한국어"])
 def test_correct_text_is_left(garble, text):
     assert garble.repair(text) == (False, text, True)
 

@@ -209,7 +209,7 @@ class Detector:
             blank = seen[-1].isspace() or "\xad" in seen
             certain = len(run) > 1 and not (blank and len(run) == 2)
             if not certain and not run[0].pair.endswith("~"):
-                certain = any(not c.isalpha() and not c.isspace() and c != "\xad" for c in seen)
+                certain = any(not c.isalpha() and not c.isspace() and c != "\xad" for c in seen) and not _ends_a_word(text, start, end)
             if not certain:
                 a, b = self._token_at(text, start, end)
                 certain = self._known(text[a:start] + "".join(s.fixed for s in run) + text[end:b].strip())
@@ -260,6 +260,15 @@ class Detector:
         return garbled, text, whole
 
 
+def _ends_a_word(text: str, start: int, end: int) -> bool:
+    """Whether letter and sign could be the end of a correct word and what follows it, as in ``MAÇÃ…``: cases agree."""
+    letter, before = text[start], text[start - 1 : start]
+    return (
+        end - start == 2 and text[start + 1] in "…™’”»›–—" and before.isalpha() and letter.isalpha()
+        and before.isupper() == letter.isupper() and not text[end : end + 1].isalpha()
+    )
+
+
 def _most(spans: list[Span]) -> int:
     """Characters that the best pair explains."""
     by: dict[str, int] = {}
