@@ -63,9 +63,9 @@ def _read(raw: bytes, encoding: str) -> str | None:
 
 def _repertoire(extra: Iterable[str]) -> list[str]:
     """Letters and signs of the scripts that are misread most, and the corpus's own characters."""
-    ranges = ((0xA0, 0x100), (0x384, 0x3CF), (0x401, 0x402), (0x410, 0x450), (0x451, 0x452), (0x2010, 0x2027), (0x2030, 0x203B), (0x3000, 0x3003), (0x3041, 0x30FF))
+    ranges = ((0x80, 0x100), (0x384, 0x3CF), (0x401, 0x402), (0x410, 0x450), (0x451, 0x452), (0x2010, 0x2027), (0x2030, 0x203B), (0x3000, 0x3003), (0x3041, 0x30FF))
     fixed = {chr(c) for a, b in ranges for c in range(a, b)} | set("€№™ŒœŠšŽžŸ")
-    return sorted(c for c in fixed.union(extra) if ord(c) >= 0xA0 and c != "�" and (unicodedata.category(c) not in ("Cf", "Co", "Cn") or c == "\xad"))
+    return sorted(c for c in fixed.union(extra) if ord(c) >= 0x80 and c != "�" and (unicodedata.category(c) not in ("Cf", "Co", "Cn") or c == "\xad"))
 
 
 class Span(NamedTuple):
