@@ -114,7 +114,7 @@ class Detector:
                         continue
                     for wrong in READ_AS:
                         g = _read(raw, wrong) if wrong != right else None
-                        if g and g != t and not g.isascii():
+                        if g and g != t and not g.isascii() and any(unicodedata.category(c)[0] not in "ZC" for c in g):
                             for v in dict.fromkeys((g, g.lower(), g.upper())):
                                 if v != t and v not in (t.lower(), t.upper()) and tokens.get(v, 0) * 5 < n:
                                     add(v, "token", t, right + wrong)
