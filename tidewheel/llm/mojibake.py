@@ -80,7 +80,9 @@ class Detector:
 
     def __init__(self, tokens: dict[str, int]):
         self.tokens = tokens
-        self.folded = {t.lower() for t in tokens}
+        self.folded: dict[str, int] = {}
+        for t, n in tokens.items():
+            self.folded[t.lower()] = self.folded.get(t.lower(), 0) + n
         chars = {}
         for t, n in tokens.items():
             for c in set(t):
@@ -105,8 +107,9 @@ class Detector:
             g = c.encode("utf-7").decode()
             for v in dict.fromkeys((g, g.lower(), g.upper())):
                 add(v, "utf7", c)
+        garbled = set()  # common tokens that are a more common one, garbled: nothing is explained by them
         for t, n in sorted(tokens.items(), key=lambda x: -x[1]):
-            if not any(0x80 <= ord(c) < 0xA0 or c == "�" for c in t):
+            if t not in garbled and not any(0x80 <= ord(c) < 0xA0 or c == "�" for c in t):
                 for right in WRITTEN_IN:
                     try:
                         raw = t.encode(right)
@@ -116,8 +119,9 @@ class Detector:
                         g = _read(raw, wrong) if wrong != right else None
                         if g and g != t and not g.isascii() and any(unicodedata.category(c)[0] not in "ZC" for c in g):
                             for v in dict.fromkeys((g, g.lower(), g.upper())):
-                                if v != t and v not in (t.lower(), t.upper()) and tokens.get(v, 0) * 5 < n:
+                                if v.lower() != t.lower() and self.folded.get(v.lower(), 0) * 5 < n:
                                     add(v, "token", t, right + wrong)
+                                    garbled.add(v)
         wide = sorted((c for c in chars if ord(c) >= 0x2E80), key=lambda c: -chars[c])
         for c in wide:
             for right in DOUBLE_BYTE:
@@ -157,7 +161,7 @@ class Detector:
         for last, (size, words, others) in self.auto.iter(text):
             start, end = last + 1 - size, last + 1
             if words and self._boundary(text, start, end):
-                n, hit = self.tokens.get(text[start:end], 0) * 5, True
+                n, hit = self.folded.get(text[start:end].lower(), 0) * 5, True
                 by_kind["token"] += [Span(start, end, fixed, pair) for _, fixed, pair in words if n < self.tokens[fixed]]
             for kind, fixed, pair in others:
                 hit = True
