@@ -21,7 +21,7 @@ def garble():
 
 @pytest.mark.parametrize("text, form", [
     ("Ｐａｇｅ　１", "Page 1"), ("café", "café"), ("pa​ge", "page"), ("a b c", "a b c"), ("pаge", "page"), ("ﬁne", "fine"), ("Kren\u0303ez", "Kreñez"), ("a‑b‐c", "a-b-c"),
-    ("ɑlpha", "alpha"), ("доpoга", "дорога"), ("ﾃｷｽﾄ", "テキスト"), ("한", "한"), ("λίμvη", "λίμνη"), ("soft­hyphen", "softhyphen"), ("mеոd", "mend"), ("﻿x", "x"), ("ma thе road", "ma the road"),
+    ("ɑlpha", "alpha"), ("доpoга", "дорога"), ("ﾃｷｽﾄ", "テキスト"), ("한", "한"), ("λίμvη", "λίμνη"), ("soft­hyphen", "softhyphen"), ("mеոd", "mend"), ("﻿x", "x"), ("ma thе road", "ma the road"), ("cr\u0435\u0302perie", "crêperie"), ("узкая дорога :: Oѕkеrwell", "узкая дорога :: Oskerwell"), ("Führer durch ԁiе Mühle", "Führer durch die Mühle"),
 ])
 def test_stand_ins(text, form):
     assert lookalike.consistent(text) == (True, form)
