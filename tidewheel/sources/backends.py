@@ -19,8 +19,6 @@ from tidewheel.functions import flow
 from tidewheel.schemas import HEADERS
 
 RESPONSE_COLUMNS = {"status": "int", "response_version": "string", "response_headers": HEADERS, "response_body": "binary", "connect_error": "string"}
-#: A response store with at most this many rows is broadcast to the requests.
-BROADCAST_ROWS = 100_000
 
 
 class Backend(Protocol):
@@ -34,7 +32,10 @@ def _complete(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class TableBackend:
-    """Fetches by a lookup join on ``uri`` with a table of responses, one per uri. A miss is status 404 with no body."""
+    """Fetches by a lookup join on ``uri`` with a table of responses, one per uri. A miss is status 404 with no body.
+
+    Spark chooses the join by the store's size; nothing is broadcast here.
+    """
 
     responses: DataFrame
     miss_status: int = 404
@@ -50,8 +51,8 @@ class TableBackend:
             get("headers", HEADERS).alias("response_headers"),
             F.coalesce(get("body", "binary"), F.lit(b"")).alias("response_body"),
         )
-        found = requests.join(store, "uri", "left").withColumn("_miss", F.col("status").isNull())
-        found = found.withColumn("status", F.coalesce("status", F.lit(self.miss_status))).withColumn("response_body", F.coalesce("response_body", F.lit(b""))).drop("_miss")
+        found = requests.join(store, "uri", "left")
+        found = found.withColumn("status", F.coalesce("status", F.lit(self.miss_status))).withColumn("response_body", F.coalesce("response_body", F.lit(b"")))
         return _complete(found).select(*requests.columns, *RESPONSE_COLUMNS)
 
 
