@@ -100,6 +100,16 @@ def test_many_texts_as_one(ratios):
         assert (at[of == i] == residue.buckets(t)).all()
 
 
+@pytest.mark.parametrize("title", ["Just a moment...", "Access denied", "Untitled", "Page not found", "Lorem ipsum dolor sit amet", "{title}"])
+def test_residue_in_a_third_of_the_rows(spark, garble, title):
+    rnd = random.Random(3)
+    words = "quiet bridge ferry kettle harbour garden compass letter winter morning river castle".split()
+    rows = [" ".join(rnd.choice(words) for _ in range(6)) for _ in range(600)] + PROSE + [title, f"{title} | Quillmoor", f"{title} - Oskerwell"] * 100
+    df = spark.createDataFrame([(t,) for t in rows], "text string")
+    told = residue.told([title, f"{title} | Quillmoor", *PROSE, *rows[:5]], residue.Ratios(residue.prose_counts(df)), garble)
+    assert told == [True] * 2 + [False] * (len(PROSE) + 5)
+
+
 # --- tokens ------------------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,8 @@
 
 Three models are fitted: residue (default and filler texts, error and block messages, notices that scripts are needed),
 unfilled slots (built from the delimiters of template languages and names of fields), and natural prose (n-gram counts
-of all titles). N-grams are hashed into a fixed number of buckets, so the prose model has one size for any corpus. Where
+of the distinct parts of all titles, without the parts that are made of the other models' n-grams; so residue is no prose
+however often it occurs). N-grams are hashed into a fixed number of buckets, so the prose model has one size for any corpus. Where
 the mean log likelihood ratio of a window is positive, the text is residue there. A title is excluded if such windows
 cover its body (the title without a site's name before or after it), or if it holds a slot anywhere.
 
@@ -12,6 +13,7 @@ Titles are first restored (wrong encodings) and brought to one form (look-alike
 from __future__ import annotations
 
 import re
+from functools import cache
 from http import HTTPStatus
 
 import numpy as np
@@ -109,10 +111,13 @@ def _padded(text: str) -> str:
 
 def all_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of many folded texts, and for each the number of its text; none for empty texts."""
-    padded = [_padded(t) if t else "" for t in texts]
+    return _all_hashed([_padded(t) if t else "" for t in texts])
+
+
+def _all_hashed(padded: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(p) for p in padded])
     h = _hashed(np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))
-    of = np.repeat(np.arange(len(texts)), sizes)[: len(h)]
+    of = np.repeat(np.arange(len(padded)), sizes)[: len(h)]
     inside = np.arange(len(h)) <= np.repeat(np.cumsum(sizes) - N, sizes)[: len(h)]
     return h[inside], of[inside]
 
@@ -124,20 +129,50 @@ def buckets(text: str) -> np.ndarray:
     return _hashed(np.frombuffer(_padded(text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))
 
 
+def pieces(text: str) -> list[str]:
+    """A padded folded text cut at its separators, and what joins the parts; together they hold its n-grams."""
+    padded, out, at = _padded(text), [], 0
+    for m in _SEPARATOR.finditer(padded):
+        out += [padded[at : m.start()], padded[max(0, m.start() - N + 1) : m.end() + N - 1]]
+        at = m.end()
+    return [p for p in [*out, padded[at:]] if len(p) >= N]
+
+
+@cache
+def _claimed() -> np.ndarray:
+    """Of each bucket, whether the residue or the slot model has it."""
+    out = np.zeros(BUCKETS, bool)
+    for t in phrases() + slots():
+        out[buckets(folded(t))] = True
+    return out
+
+
+def piece_counts(distinct: list[str]) -> np.ndarray:
+    """N-gram counts of pieces, by bucket; those that residue and slots explain by themselves are left out."""
+    at, of = _all_hashed(distinct)
+    size = np.bincount(of, minlength=len(distinct))
+    known = np.bincount(of, weights=_claimed()[at], minlength=len(distinct))
+    return np.bincount(at[(known < COVERAGE * size)[of]], minlength=BUCKETS).astype(np.int64)
+
+
 def prose_counts(frame: DataFrame) -> np.ndarray:
-    """N-gram counts of all texts of (``text``), by bucket: counted by task first, then summed; ``BUCKETS`` numbers at most."""
+    """N-gram counts of the prose in (``text``), by bucket, ``BUCKETS`` numbers at most. Each distinct piece counts once:
+    pieces are made distinct by batch, then by one exchange; they are counted by task, then summed."""
+
+    def cut(batches):
+        for b in batches:
+            texts = {folded(t) for t in b.column(0).unique().to_pylist()} - {""}
+            yield pa.RecordBatch.from_arrays([pa.array(list({p for t in texts for p in pieces(t)}), pa.string())], names=["piece"])
 
     def work(batches):
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            coded = b.column(0).dictionary_encode()
-            times = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
-            at, of = all_buckets([folded(t) for t in coded.dictionary.to_pylist()])
-            total += np.bincount(at, weights=times[of], minlength=BUCKETS).astype(np.int64)
+            total += piece_counts(b.column(0).to_pylist())
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["b", "n"])
 
-    rows = frame.where(F.col("text").isNotNull()).select("text").mapInArrow(work, "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
+    distinct = frame.where(F.col("text").isNotNull()).select("text").mapInArrow(cut, "piece string").distinct()
+    rows = distinct.mapInArrow(work, "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
     out = np.zeros(BUCKETS, np.int64)
     got = rows.toPandas()
     out[got["b"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
