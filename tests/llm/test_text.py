@@ -72,6 +72,19 @@ def test_correct_text_is_left(garble, text):
     assert garble.repair(text) == (False, text, True)
 
 
+GERMAN = ["Die alte Mühle am Fluss", "Mühle und Brücke", "Über die Brücke", "Die Mühle im Schnee", "Bücher für Müller", "Führer für Gärten"]
+RUSSIAN = ["дорога к реке", "старая дорога", "тетрадь и дорога", "дорога у реки", "новая тетрадь", "река и берег"]
+
+
+@pytest.mark.parametrize("right, wrong, correct, title", [("cp1252", "cp1251", GERMAN, "Mühle"), ("cp1252", "mac_roman", GERMAN, "Mühle"), ("cp1252", "cp437", GERMAN, "für"), ("cp1251", "cp1252", RUSSIAN, "дорога"), ("koi8_r", "cp1251", RUSSIAN, "дорога"), ("cp1251", "cp866", RUSSIAN, "тетрадь")])
+def test_one_garbled_title_in_a_third_of_the_rows(spark, right, wrong, correct, title):
+    g = title.encode(right).decode(wrong)
+    df = spark.createDataFrame([(t,) for t in correct * 2 + [g] * 300 + ["plain"] * 600], "text string")
+    d = Detector(mojibake.corpus_tokens([F.col("text")], [df]))
+    assert d.repair(g) == (True, title, True)
+    assert [d.repair(t) for t in correct] == [(False, t, True) for t in correct]
+
+
 # --- residue -----------------------------------------------------------------------------------------------------------
 
 PROSE = ["Visiting the quiet bridge", "Error bars explained with a kettle", "The untitled bridge, and other paintings", "JavaScript for gardeners: the ferry course", "Counting {1, 2, 3}: sets for the class", "[Updated] compass opening hours", "The $9 kettle", "Access denied? The locked ferry of 1931", "Null island and its harbour", "Lost page of the ferry manuscript found"]

@@ -8,17 +8,22 @@ The patterns are worked out once for all pairs of encodings:
 * ``utf7``: each character of the repertoire in UTF-7 that nobody decoded, also in lower and upper case;
 * ``lost``: the replacement character, C1 controls and pieces of frames, which no correct title holds.
 
-Corpus tokens and characters come from document frequencies over all rows. A token counts as common from ``min_share``
-of the rows on, so there are at most (tokens a row) / ``min_share`` of them however large the corpus is; that list is
+Which of two spellings is the garbled one is told by their letters (mixed scripts, signs and capitals inside words, pairs of
+letters that the corpus lacks) and by how many distinct texts hold them: copies say nothing.
+
+Corpus tokens and characters come from all rows. A token counts as common from ``min_share`` of the rows on, so there are at most (tokens a row) / ``min_share`` of them however large the corpus is; that list is
 what is broadcast.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable
+from functools import cache, lru_cache
 from typing import NamedTuple
 
 import ahocorasick
@@ -41,6 +46,11 @@ _BREAKS = frozenset(" -.,:;!?|()[]{}/\"'<>=&#%*")
 _UTF7 = re.compile(r"\+([A-Za-z0-9+/]{3,})-?")
 _ENTITY = re.compile(r"&[A-Za-z]{2,8}\d?;")
 _WORD = re.compile(r"[^\W_]")
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_SCRIPT = re.compile(r"^(?:HALFWIDTH |FULLWIDTH )?(\w+)")
+_TOGETHER = frozenset(("CJK", "HIRAGANA", "KATAKANA", "HANGUL", "IDEOGRAPHIC"))
+#: Difference in mean log likelihood of letter pairs that tells the direction; five times as many texts count as much.
+LIKELIER = 1.0
 #: Only texts that match can hold a garbled sequence; tested in the JVM.
 SUSPECT = r"[^\x00-\x7F]|\+[A-Za-z0-9+/]{2}|&[A-Za-z]{2,8}[0-9]?;"
 
@@ -75,8 +85,47 @@ class Span(NamedTuple):
     pair: str = ""  # the encodings that explain it
 
 
+@cache
+def _script(c: str) -> str:
+    return "".join(_SCRIPT.findall(unicodedata.name(c, ""))[:1]) if c.isalpha() else ""
+
+
+@lru_cache(1 << 16)
+def _oddness(token: str) -> int:
+    """What correct words seldom hold: letters of different scripts side by side, signs and controls inside, capitals after small letters."""
+    inner = _EDGES.sub("", token)
+    kinds = [_script(c) for c in inner]
+    mixed = sum(a != b for a, b in zip(kinds, kinds[1:]) if a and b and not {a, b} <= _TOGETHER)
+    signs = sum(not (c.isalnum() or unicodedata.category(c) in ("Mn", "Mc") or c in "'’·‐‑_+@") for c in inner)
+    return mixed + signs + sum(a.islower() and b.isupper() for a, b in zip(inner, inner[1:]))
+
+
+class _Letters:
+    """Letters and their pairs in the corpus's tokens, each token as often as distinct texts hold it."""
+
+    def __init__(self, tokens: dict[str, int]):
+        self.seen: Counter[str] = Counter()
+        for t, n in tokens.items():
+            for p in self._of(t):
+                self.seen[p] += n
+                self.seen[p[0]] += n
+        self.total = 1 + sum(n for p, n in self.seen.items() if len(p) == 1)
+
+    @staticmethod
+    def _of(token: str) -> list[str]:
+        padded = f" {token.lower()} "
+        return [padded[i : i + 2] for i in range(len(padded) - 1)]
+
+    def likelihood(self, token: str, texts: int) -> float:
+        """Mean log likelihood of a token's pairs, backed by that of their letters; what its own texts add is left out."""
+        pairs = self._of(token)
+        own = Counter(pairs) + Counter(p[0] for p in pairs)
+        n = lambda x: max(0, self.seen[x] - texts * own[x])
+        return sum(math.log(n(p) / self.total + 0.1 * (n(p[0]) + 0.5) / self.total * (n(p[1]) + 0.5) / self.total) for p in pairs) / len(pairs)
+
+
 class Detector:
-    """Finds and restores garbled spans of one text. ``tokens``: document frequencies of common non-ASCII tokens."""
+    """Finds and restores garbled spans of one text. ``tokens``: of common non-ASCII tokens, how many distinct texts hold each."""
 
     def __init__(self, tokens: dict[str, int]):
         self.tokens = tokens
@@ -107,8 +156,10 @@ class Detector:
             g = c.encode("utf-7").decode()
             for v in dict.fromkeys((g, g.lower(), g.upper())):
                 add(v, "utf7", c)
-        garbled = set()  # common tokens that are a more common one, garbled: nothing is explained by them
-        for t, n in sorted(tokens.items(), key=lambda x: -x[1]):
+        self.letters = _Letters(tokens)
+        garbled = set()  # tokens that are a likelier one, garbled: nothing is explained by them
+        odd = {t: _oddness(t) for t in tokens}
+        for t, n in sorted(tokens.items(), key=lambda x: (odd[x[0]], -x[1])):
             if t not in garbled and not any(0x80 <= ord(c) < 0xA0 or c == "�" for c in t):
                 for right in WRITTEN_IN:
                     try:
@@ -119,7 +170,7 @@ class Detector:
                         g = _read(raw, wrong) if wrong != right else None
                         if g and g != t and not g.isascii() and any(unicodedata.category(c)[0] not in "ZC" for c in g):
                             for v in dict.fromkeys((g, g.lower(), g.upper())):
-                                if v.lower() != t.lower() and self.folded.get(v.lower(), 0) * 5 < n:
+                                if v.lower() != t.lower() and self._garbles(v, t, n, odd[t]):
                                     add(v, "token", t, right + wrong)
                                     garbled.add(v)
         wide = sorted((c for c in chars if ord(c) >= 0x2E80), key=lambda c: -chars[c])
@@ -139,6 +190,17 @@ class Detector:
             self.auto.add_word(pattern, (len(pattern), [k for k in kinds if k[0] == "token"], [k for k in kinds if k[0] != "token"]))
         self.auto.make_automaton()
 
+    def _garbles(self, v: str, t: str, n: int, odd: int) -> bool:
+        """Whether of two spellings ``v`` is the garbled one, and not ``t``, a token of ``n`` texts."""
+        m = self.folded.get(v.lower(), 0)
+        if any(c.isalpha() for c in t) and len(t) > 1:
+            other = _oddness(v)
+            if other != odd:
+                return other > odd
+            if m:
+                return self.letters.likelihood(t, n) - self.letters.likelihood(v, m) + math.log(n / m, 5) > LIKELIER
+        return m * 5 < n
+
     def _boundary(self, text: str, start: int, end: int) -> bool:
         return (start == 0 or text[start - 1] in _BREAKS or text[start - 1].isspace()) and (end == len(text) or text[end] in _BREAKS or text[end].isspace())
 
@@ -161,8 +223,8 @@ class Detector:
         for last, (size, words, others) in self.auto.iter(text):
             start, end = last + 1 - size, last + 1
             if words and self._boundary(text, start, end):
-                n, hit = self.folded.get(text[start:end].lower(), 0) * 5, True
-                by_kind["token"] += [Span(start, end, fixed, pair) for _, fixed, pair in words if n < self.tokens[fixed]]
+                hit = True
+                by_kind["token"] += [Span(start, end, fixed, pair) for _, fixed, pair in words]
             for kind, fixed, pair in others:
                 hit = True
                 by_kind[kind].append(Span(start, end, fixed if kind != "lost" else None, pair))
@@ -294,18 +356,21 @@ def _by_pair(spans: list[Span], keep) -> list[Span]:
 
 
 def corpus_tokens(columns: list[Column], frames: list[DataFrame], min_share: float = 1e-5) -> dict[str, int]:
-    """Document frequencies of the non-ASCII tokens in at least ``min_share`` of the rows (and in two), over all rows.
+    """Of the non-ASCII tokens in at least ``min_share`` of the rows (and in two), how many distinct texts hold each; over all rows.
 
-    Partial aggregation on each side of one exchange of tokens; the result is bounded by (tokens a row) / ``min_share``.
+    One exchange of the distinct non-ASCII texts and one of tokens, both after partial aggregation; the result is bounded
+    by (tokens a row) / ``min_share``.
     """
     both = None
     for c, df in zip(columns, frames):
         part = df.select(c.alias("_t"))
         both = part if both is None else both.unionByName(part)
-    parts = both.select(F.explode(F.array_distinct(F.split(F.col("_t"), SPLIT))).alias("_k")).where(F.col("_k").rlike(r"[^\x00-\x7F]"))
+    texts = both.where(F.col("_t").rlike(r"[^\x00-\x7F]")).groupBy("_t").agg(F.count(F.lit(1)).alias("_c"))
+    parts = texts.select("_c", F.explode(F.array_distinct(F.split(F.col("_t"), SPLIT))).alias("_k")).where(F.col("_k").rlike(r"[^\x00-\x7F]"))
     rows = max(1, both.count())
     least = max(2, int(rows * min_share))
-    return {r["_k"]: r["n"] for r in parts.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).collect()}
+    counted = parts.groupBy("_k").agg(F.sum("_c").alias("rows"), F.count(F.lit(1)).alias("texts"))
+    return {r["_k"]: r["texts"] for r in counted.where(F.col("rows") >= least).collect()}
 
 
 _DETECTORS: dict[int, Detector] = {}
