@@ -1,6 +1,8 @@
 import random
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,10 +92,20 @@ def test_one_garbled_title_in_a_third_of_the_rows(spark, right, wrong, correct,
 PROSE = ["Visiting the quiet bridge", "Error bars explained with a kettle", "The untitled bridge, and other paintings", "JavaScript for gardeners: the ferry course", "Counting {1, 2, 3}: sets for the class", "[Updated] compass opening hours", "The $9 kettle", "Access denied? The locked ferry of 1931", "Null island and its harbour", "Lost page of the ferry manuscript found"]
 
 
+WORDS = "quiet bridge ferry kettle harbour garden compass letter winter morning river castle".split()
+
+
+def natural(n):
+    rnd = random.Random(3)
+    return [" ".join(rnd.choice(WORDS) for _ in range(6)) for _ in range(n)] + PROSE
+
+
 @pytest.fixture(scope="module")
 def ratios():
-    at, of = residue.all_buckets([residue.folded(p) for p in PROSE])
-    return residue.Ratios(500 * np.bincount(at, minlength=residue.BUCKETS))
+    none = np.zeros(residue.BUCKETS, np.float32)
+    pieces = sorted({p for t in natural(300) for p in residue.pieces(residue.folded(t))})
+    prose, _ = residue.learn_once(pieces, residue.Ratio(residue.seed_counts(), none))
+    return residue.Ratios(prose, none, residue.learn_shapes([residue.shaped(p) for p in pieces], residue.Ratios(none, none, none)))
 
 
 @pytest.mark.parametrize("text", ["{{ page.title }}", "Welcome to <%= title %>", "Shop – %s", "Lorem ipsum dolor sit amet", "404 Not Found", "Page not found | Quillmoor", "Please enable JavaScript", "Untitled", "null", "Ошибка 404", "Ｐａｇｅ ｎｏｔ ｆｏｕｎｄ", "Quillmoor: Seite nicht gefunden", "[Page title]", "PÃ¡gina no encontrada", "{0} – {1}"])
@@ -107,22 +119,42 @@ def test_prose_is_kept(ratios, garble, text):
 
 
 def test_many_texts_as_one(ratios):
-    texts = ["", "a", "ab", "404 not found", "visiting the quiet bridge", "x" * 500]
-    at, of = residue.all_buckets(texts)
-    for i, t in enumerate(texts):
-        assert (at[of == i] == residue.buckets(t)).all()
+    texts = ["", "a", "ab", "404 not found", "visiting the quiet bridge", "x" * 500, "untitled | quillmoor"]
+    assert ratios.told(texts).tolist() == [bool(ratios.told([t])[0]) for t in texts]
+    assert ratios.told([]).tolist() == [] and ratios.covered([]).tolist() == []
 
 
+def test_a_slot_of_any_length_is_told(ratios):
+    assert ratios.told(["{{ " + "very_long_name." * 40 + "title }}", "prose and ${" + "x" * 300 + "} prose"]).tolist() == [True, True]
+
+
+@pytest.mark.parametrize("share", [0.01, 0.1, 0.34])
 @pytest.mark.parametrize("title", ["Just a moment...", "Access denied", "Untitled", "Page not found", "Lorem ipsum dolor sit amet", "{title}"])
-def test_residue_in_a_third_of_the_rows(spark, garble, title):
-    rnd = random.Random(3)
-    words = "quiet bridge ferry kettle harbour garden compass letter winter morning river castle".split()
-    rows = [" ".join(rnd.choice(words) for _ in range(6)) for _ in range(600)] + PROSE + [title, f"{title} | Quillmoor", f"{title} - Oskerwell"] * 100
-    df = spark.createDataFrame([(t,) for t in rows], "text string")
-    told = residue.told([title, f"{title} | Quillmoor", *PROSE, *rows[:5]], residue.Ratios(residue.prose_counts(df)), garble)
+def test_common_residue_is_no_prose(spark, garble, title, share):
+    rows = natural(600)
+    many = int(len(rows) * share / (1 - share) / 3) + 1
+    df = spark.createDataFrame([(t,) for t in rows + [title, f"{title} | Quillmoor", f"{title} - Oskerwell"] * many], "text string")
+    told = residue.told([title, f"{title} | Quillmoor", *PROSE, *rows[:5]], residue.Ratios(*residue.learn(df)), garble)
     assert told == [True] * 2 + [False] * (len(PROSE) + 5)
 
 
+def test_residue_of_a_kind_left_out_of_the_seeds():
+    """Each line of the grammar in turn: the models are fitted without it, then asked about its texts."""
+    d = Path("/root/testdata/sf0.01")
+    if not d.exists():
+        pytest.skip("no test tables")
+    titles = {t for n in ("page_content", "page_data") for t in pq.read_table(d / f"{n}.parquet", columns=["title"])["title"].to_pylist() if t}
+    pieces = sorted({p for t in titles for p in residue.pieces(residue.folded(t))})
+    none = np.zeros(residue.BUCKETS, np.float32)
+    plain = residue.learn_shapes(sorted({residue.shaped(p) for p in pieces}), residue.Ratios(none, none, none))
+    recall = []
+    for i, texts in enumerate(residue.families()):
+        seeds = residue.seed_counts(i)
+        prose, _ = residue.learn_once(pieces, residue.Ratio(seeds, none))
+        recall.append(residue.Ratios(prose, none, plain, seeds).told([residue.folded(t) for t in texts]).mean())
+    assert np.mean(recall) >= 0.9
+
+
 # --- tokens ------------------------------------------------------------------------------------------------------------
 
 
@@ -181,9 +213,11 @@ def test_titles_with_anything_in_them(spark):
     assert sorted((r["seq"] or 0) for r in mojibake.mark_garbled(df, "text", ["seq"], shared).collect()) == [0, 1, 1, 5]
     forms = {r["seq"]: r["form"] for r in lookalike.unify(df, "text", ["seq"], shared).collect()}
     assert forms[4] == "quiet" and forms[3] == "" and len(forms) == 6
-    prose = spark.sparkContext.broadcast(residue.prose_counts(df))
-    assert [r["seq"] for r in residue.mark_residue(df, ["seq"], prose, shared).collect()] == [6]
+    learned = spark.sparkContext.broadcast(residue.learn(df))
+    assert [r["seq"] for r in residue.mark_residue(df, ["seq"], learned, shared).collect()] == [6]
+    kept = residue.mark_residue(df, ["seq"], learned, shared, found=False).collect()
+    assert sorted((r["seq"] or 0) for r in kept) == [0, 1, 1, 2, 3, 4, 5]
     empty = df.limit(0)
     none = spark.sparkContext.broadcast(mojibake.corpus_tokens([F.col("text")], [empty]))
     assert mojibake.mark_garbled(empty, "text", ["seq"], none).count() == 0 and lookalike.unify(empty, "text", ["seq"], none).count() == 0
-    assert residue.prose_counts(empty).sum() == 0
+    assert all(x.sum() == 0 for x in residue.learn(empty))

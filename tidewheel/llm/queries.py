@@ -61,19 +61,22 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivor.best_fields(table(spark, d, "user_groups"), table(spark, d, "user_records"), table(spark, d, "source_trust"))
 
 
-@query
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _judged(spark: SparkSession, d: str, found: bool) -> DataFrame:
     pages, data = _titles(spark, d, "page_content", "page_data")
     both = pages.unionByName(data)
-    prose = spark.sparkContext.broadcast(residue.prose_counts(both))
-    return residue.mark_residue(both, ["table_name", "seq"], prose, _garble_tokens(spark, [pages, data]))
+    learned = spark.sparkContext.broadcast(residue.learn(both))
+    return residue.mark_residue(both, ["table_name", "seq"], learned, _garble_tokens(spark, [pages, data]), found)
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d, True)
 
 
 @query
 def p3_kept(spark: SparkSession, d: str) -> DataFrame:
     """The rows with real titles, or none: what is left without those of ``p3_found``."""
-    pages, data = _titles(spark, d, "page_content", "page_data")
-    return pages.unionByName(data).select("table_name", "seq").join(p3_found(spark, d), ["table_name", "seq"], "left_anti")
+    return _judged(spark, d, False)
 
 
 PAGE_KEY = {"url": copies.bare_address}
