@@ -63,9 +63,7 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
 
 def _judged(spark: SparkSession, d: str, found: bool) -> DataFrame:
     pages, data = _titles(spark, d, "page_content", "page_data")
-    both = pages.unionByName(data)
-    learned = spark.sparkContext.broadcast(residue.learn(both))
-    return residue.mark_residue(both, ["table_name", "seq"], learned, _garble_tokens(spark, [pages, data]), found)
+    return residue.mark_residue(pages.unionByName(data), ["table_name", "seq"], _garble_tokens(spark, [pages, data]), found)
 
 
 @query

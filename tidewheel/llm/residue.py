@@ -11,7 +11,7 @@ error and block messages, notices that scripts are needed), natural prose, and s
 * Slots are told by shape: letters are one class, digits another, runs are one character, so a slot of any length and any
   name has the same n-grams. Their model is built from the delimiters of template languages.
 
-Where the log likelihood ratio of a window is high, or that of the whole body is positive, the text is residue there. A title
+Where the log likelihood ratio of a window is high, the text is residue there; the whole body is a window, too. A title
 is excluded if such windows cover its body (the title without a site's name of one word before or after it, or without
 brackets around it), or if a window of it is likelier a slot than prose. N-grams are hashed into a fixed number of buckets, so the models have one size for any corpus.
 
@@ -38,10 +38,12 @@ ORDER = 5
 BUCKETS = 1 << 20
 #: Share of a body's letters and digits that residue must cover.
 COVERAGE = 0.8
-#: Characters of a window, and the mean log ratio that it must exceed; the window that is the whole body must exceed 0.
-WINDOW, LEAST = 10, 0.5
+#: Characters of a window, the mean log ratio that it must exceed, and the log ratio that a whole body must exceed.
+WINDOW, LEAST, WHOLE = 10, 0.5, -3.0
 #: Mean log likelihood of a character from which the seeds alone explain a piece.
-CLAIM = -2.5
+CLAIM = -2.2
+#: Weight of the seeds' single letters and pairs in the prose model.
+PRIOR = 0.3
 #: Texts drawn of each line of the grammar.
 DRAWN = 60
 #: Characters that are worked on at a time; a longer text is worked on alone.
@@ -254,13 +256,13 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return out, inner, of, code
 
 
-def counts_of(texts: list[str], weights: list[float] | None = None) -> np.ndarray:
-    """N-gram counts of folded texts, all orders in one array of ``BUCKETS``; none of no texts."""
+def counts_of(texts: list[str], weights: list[float] | None = None, order: int = ORDER) -> np.ndarray:
+    """N-gram counts of folded texts, all orders up to ``order`` in one array of ``BUCKETS``; none of no texts."""
     out, done = np.zeros(BUCKETS, np.float32), 0
     for part in _sliced(texts):
         grams, _, of, _ = _grams(part)
         w = None if weights is None else np.asarray(weights[done : done + len(part)])[of]
-        for k in range(1, ORDER + 1):
+        for k in range(1, order + 1):
             out += np.bincount(grams[k], weights=w, minlength=BUCKETS)
         done += len(part)
     return out
@@ -270,18 +272,24 @@ class Ratio:
     """Log likelihood ratios of one model of characters against another. Each is an interpolation of its n-grams: a context
     that was seen often is trusted more, an unseen one falls back on a shorter one."""
 
-    def __init__(self, for_: np.ndarray, against: np.ndarray, bound: float = 4.0):
-        self.models = (for_, float(for_.sum()) / ORDER), (against, float(against.sum()) / ORDER)
+    def __init__(self, for_: np.ndarray, against: np.ndarray, bound: float = 4.0, prior: np.ndarray | None = None):
+        """``prior``: counts of single characters and pairs that are added to those of the second model."""
+        total = float(against.sum()) / ORDER
+        if prior is not None:
+            against, total = against + prior, total + float(prior.sum()) / 2
+        self.models = (for_, float(for_.sum()) / ORDER), (against, total)
         self.bound = bound
 
     @staticmethod
     def _logs(grams: np.ndarray, counts: np.ndarray, total: float) -> list[np.ndarray]:
         """Log likelihood of each character after no, one, two ... characters before it."""
-        p, before, out = 1 / 300, total, []
+        # a character never seen is as likely in any model: a hundredth of all goes to such ones
+        n = counts[grams[1]]
+        p, out = 0.99 * n / max(total, 1e-9) + 0.01 / 3000, []
         for k in range(1, ORDER + 1):
-            n = counts[grams[k]]
-            p = (n + p) / (np.maximum(before, n) + 1)
-            before = np.roll(n, 1)
+            if k > 1:
+                n, before = counts[grams[k]], np.roll(n, 1)
+                p = (n + p) / (np.maximum(before, n) + 1)
             out.append(np.log(p))
         return out
 
@@ -322,7 +330,8 @@ class Ratios:
     """Residue and slots against prose. ``prose``, ``residue``: n-gram counts learned from the corpus, beside the seeds'."""
 
     def __init__(self, prose: np.ndarray, residue: np.ndarray, prose_shapes: np.ndarray, seeds: np.ndarray | None = None):
-        self.residue = Ratio((seed_counts() if seeds is None else seeds) + residue, prose)
+        # single letters and pairs speak for neither: prose has those of the seeds, which matters where a corpus is small
+        self.residue = Ratio((seed_counts() if seeds is None else seeds) + residue, prose, prior=PRIOR * seed_counts(order=2))
         plain = plain_counts()
         self.slot = Ratio(slot_counts(), prose_shapes + plain * max(1.0, 0.1 * float(prose_shapes.sum() / plain.sum())), bound=3.0)
 
@@ -338,7 +347,7 @@ class Ratios:
         said = _alnum()[code]
         size = np.bincount(of, weights=said, minlength=len(texts))
         share = np.bincount(of, weights=said & (np.cumsum(steps[:-1]) > 0), minlength=len(texts)) / np.maximum(1, size)
-        return np.where((whole > 0) & (size > 0), 1.0, share), total, begin
+        return np.where((whole > WHOLE) & (size > 0), 1.0, share), total, begin
 
     def covered(self, texts: list[str]) -> np.ndarray:
         """Share of each folded text's letters and digits that are residue; 0 where it has none."""
@@ -408,14 +417,14 @@ def _bodies(text: str) -> list[tuple[int, int]]:
 
 
 @cache
-def seed_counts(left_out: int = -1) -> np.ndarray:
+def seed_counts(left_out: int = -1, order: int = ORDER) -> np.ndarray:
     """Counts of the seed texts; each line of the grammar weighs alike. ``left_out``: a line to do without, for tests."""
     texts, weights = [], []
     for i, own in enumerate(families()):
         if i != left_out:
             texts += [folded(t) for t in own]
             weights += [min(1.0, 20 / len(own))] * len(own)
-    return counts_of(texts, weights)
+    return counts_of(texts, weights, order)
 
 
 @cache
@@ -491,9 +500,9 @@ def _summed(frame: DataFrame, count, models: int) -> list[np.ndarray]:
 
 
 def learn(frame: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(prose, residue, prose shapes): n-gram counts learned from all texts of (``text``), for :class:`Ratios`.
+    """(prose, residue, prose shapes): n-gram counts learned from all texts of (``form``), for :class:`Ratios`.
 
-    Titles are cut into pieces, made distinct by batch and by one exchange, and written; two passes over the pieces follow,
+    Forms are cut into pieces, made distinct by batch and by one exchange, and written; two passes over the pieces follow,
     and one over their distinct shapes. Null, empty and blank texts count for nothing.
     """
     spark = frame.sparkSession
@@ -501,13 +510,13 @@ def learn(frame: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     def split(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(sorted({p for t in {folded(t) for t in b.column(0).unique().to_pylist()} for p in pieces(t)}), pa.string())], names=["piece"])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({p for t in b.column(0).unique().to_pylist() for p in pieces(t)}), pa.string())], names=["piece"])
 
     def shapes(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(sorted({shaped(p) for p in b.column(0).to_pylist()}), pa.string())], names=["shape"])
 
-    distinct = cut(frame.where(F.col("text").isNotNull()).select("text").mapInArrow(split, "piece string").repartition(parts, "piece").distinct())
+    distinct = cut(frame.where(F.col("form").isNotNull()).select("form").mapInArrow(split, "piece string").repartition(parts, "piece").distinct())
     known = lambda: Ratio(seed_counts(), _nothing())
     (prose, _) = _summed(distinct, lambda texts: learn_once(texts, known()), 2)
     (plain,) = _summed(distinct.mapInArrow(shapes, "shape string").distinct(), lambda texts: (learn_shapes(texts, Ratios(_nothing(), _nothing(), _nothing())),), 1)
@@ -516,49 +525,63 @@ def learn(frame: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return prose, residue, plain
 
 
-_MODELS: dict[int, tuple[Ratios, Detector]] = {}
+_MODELS: dict[int, Ratios] = {}
 
 
-def _model(shared, shared_tokens) -> tuple[Ratios, Detector]:
+def _model(shared) -> Ratios:
+    """One set of models a worker process and broadcast."""
     key = shared.id if hasattr(shared, "id") else id(shared)
     if key not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = (Ratios(*shared.value), detector(shared_tokens))
+        _MODELS[key] = Ratios(*shared.value)
     return _MODELS[key]
 
 
+def plain_form(text: str, garbled: Detector) -> str:
+    """A title restored, in one spelling, folded."""
+    if not text.isascii() or "+" in text or "&" in text:
+        text = consistent(garbled.repair(text)[1])[1]
+    return folded(text)
+
+
 def told(texts: list[str], ratios: Ratios, garbled: Detector) -> list[bool]:
     """Of each title whether it is residue; disguised and garbled ones are seen through."""
-    forms: list[list[str]] = []
-    for t in texts:
-        own = [folded(t)]
-        if not t.isascii() or "+" in t or "&" in t:
-            plain = folded(consistent(garbled.repair(t)[1])[1])
-            if plain != own[0]:
-                own.append(plain)
-        forms.append(own)
-    flat = [f for own in forms for f in own]
-    of = np.repeat(np.arange(len(texts)), [len(own) for own in forms])
-    return (np.bincount(of, weights=ratios.told(flat), minlength=len(texts)) > 0).tolist() if flat else []
-
-
-def mark_residue(df: DataFrame, keys: list[str], shared, shared_tokens, found: bool = True) -> DataFrame:
+    return ratios.told([plain_form(t, garbled) for t in texts]).tolist()
+
+
+def plain_forms(df: DataFrame, keys: list[str], shared_tokens) -> DataFrame:
+    """``keys`` and ``form`` of each row of (keys, ``text``), written once: both the models and their use read it. Null stays null."""
+    picked = df.select(*[F.col(f"`{k}`") for k in keys], F.col("text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
+
+    def work(batches):
+        garbled = detector(shared_tokens)
+        for b in batches:
+            coded = b.column(len(keys)).dictionary_encode()
+            forms = pa.array([plain_form(t, garbled) for t in coded.dictionary.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys))), forms.take(coded.indices)], names=[*keys, "form"])
+
+    return cut(picked.mapInArrow(work, f"{kinds}, form string"))
+
+
+def mark_residue(df: DataFrame, keys: list[str], shared_tokens, found: bool = True) -> DataFrame:
     """``keys`` of each row of (keys, ``text``) that is to be kept out, or with ``found=False`` of each that stays.
 
     Null, empty and blank texts are no residue. Equal rows are told alike; columns beside ``keys`` and ``text`` do not
-    matter. Narrow. ``shared``: broadcast :func:`learn`; ``shared_tokens``: broadcast corpus tokens.
+    matter; a table without rows gives none. Narrow but for what :func:`learn` exchanges. ``shared_tokens``: broadcast
+    corpus tokens, so that garbled titles are seen through.
     """
-    picked = df.select(*[F.col(f"`{k}`") for k in keys], F.col("text"))
-    picked = picked.where(F.col("text").isNotNull()) if found else picked
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
+    forms = plain_forms(df, keys, shared_tokens)
+    shared = df.sparkSession.sparkContext.broadcast(learn(forms))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in forms.schema.fields[:-1])
 
     def work(batches):
-        ratios, garbled = _model(shared, shared_tokens)
+        ratios = _model(shared)
         for b in batches:
             coded = b.column(len(keys)).dictionary_encode()
-            done = np.array([*told(coded.dictionary.to_pylist(), ratios, garbled), False], bool)
+            done = np.append(ratios.told(coded.dictionary.to_pylist()), False)
             marked = done[coded.indices.fill_null(len(done) - 1).to_numpy(zero_copy_only=False)]
             take = pa.array(np.flatnonzero(marked == found), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(i).take(take) for i in range(len(keys))], names=keys)
 
-    return picked.mapInArrow(work, kinds)
+    return (forms.where(F.col("form").isNotNull()) if found else forms).mapInArrow(work, kinds)
