@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +198,42 @@ def test_browser_backend(spark):
     b = PoolConfig().with_unmanaged("http://x").build(pages, BehaviorConfig(extract_html=False, extract_text=True))
     got = {r["uri"]: r for r in b(frontier.as_requests(seeds(spark, "a", "b"))).collect()}
     assert bytes(got["a"]["response_body"]).decode() == "hé" and got["a"]["status"] == 200 and got["b"]["connect_error"] and got["b"]["status"] is None
+
+
+def chain(spark, n):
+    return links(spark, [(f"c{i}", [f"c{i + 1}"]) for i in range(n - 1)])
+
+
+def test_a_deep_crawl_loses_nothing_and_bounds_hold_back(spark):
+    whole = Client(spark, Router().fallback(chain(spark, 34)), NoopBackend()).with_request_queue(seeds(spark, "c0")).run()
+    assert whole.total == 34 and whole.left.count() == 0 and whole.requests.agg(F.max("depth")).first()[0] == 34
+    folders = list(whole.folders)
+    assert all(Path(f.removeprefix("file:")).exists() for f in folders)
+    whole.close()
+    assert not any(Path(f.removeprefix("file:")).exists() for f in folders)
+    for bound in ({"max_depth": 3}, {"max_levels": 3}):
+        run = Client(spark, Router().fallback(chain(spark, 6)), NoopBackend(), **bound).with_request_queue(seeds(spark, "c0")).run()
+        assert run.total == 3 and [(r["uri"], r["depth"]) for r in run.left.collect()] == [("c3", 4)]
+
+
+def test_a_bound_holds_back_some_of_a_level(spark):
+    deep = seeds(spark, "c0", "c1").withColumn("depth", F.when(F.col("seq") == 2, 9))
+    run = Client(spark, Router().fallback(chain(spark, 2)), NoopBackend(), max_depth=2).with_request_queue(deep).run()
+    assert run.total == 2 and [(r["uri"], r["depth"]) for r in run.left.collect()] == [("c1", 9)]
+
+
+def test_a_level_can_be_given_up(spark):
+    import threading
+    import time
+
+    def resolve(_, request):
+        time.sleep(60)
+        return {}
+
+    c = Client(spark, Router().fallback(lambda rows: Handled()), CallableBackend(lambda: None, resolve)).with_request_queue(seeds(spark, "a"))
+    timer = threading.Timer(5, lambda: c.stop(now=True))
+    timer.start()
+    began = time.time()
+    run = c.run()
+    timer.join()
+    assert time.time() - began < 50 and run.total == 0 and [r["uri"] for r in run.left.collect()] == ["a"]

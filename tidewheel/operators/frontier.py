@@ -102,16 +102,16 @@ def settle(requests: DataFrame) -> DataFrame:
     return requests.withColumns({"tag": tag_or_fallback(F.col("tag")), "depth": depth_or_first(F.col("depth"))})
 
 
-def ordered_by(df: DataFrame, *order: Column, start: int = 0, name: str = "seq", written: bool = False) -> DataFrame:
+def ordered_by(df: DataFrame, *order: Column, start: int = 0, name: str = "seq", written: bool = False, folders: list[str] | None = None) -> DataFrame:
     """``df`` with a dense place in ``order``, from ``start`` + 1, without gathering the rows in one task.
 
     Rows are sorted by range; each partition's rows are counted, the counts (one per partition) come to the driver, and
     each row gets its partition's offset plus its place in it. Ties keep an arbitrary order, so give a total one.
-    ``written``: the sorted rows are written to the shared folder, so that they are sorted once.
+    ``written``: the sorted rows are written to the shared folder, so that they are sorted once; the folder is added to ``folders``.
     """
     spark = df.sparkSession
     part = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    part = cut(part) if written else part
+    part = cut(part, folders) if written else part
     counts = {r["_part"]: r["count"] for r in part.groupBy("_part").count().collect()}
     offsets, total = [], start
     for p in sorted(counts):

@@ -8,6 +8,7 @@ it. The driver sees one count per level, never rows.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -21,12 +22,15 @@ from tidewheel.operators.datasets import Catalog, Dataset
 from tidewheel.operators.router import Router, outcome_rows
 from tidewheel.schemas import OUTCOME_DDL, REQUEST_DDL, schema, tag_key
 from tidewheel.sources.backends import RESPONSE_COLUMNS, Backend
-from tidewheel.sources.shared import cut
+from tidewheel.sources.shared import Log, cut, drop
 
 
 @dataclass
 class Run:
-    """What a run gives: rows by dataset, every request handled, its outcome, what was left, and counts."""
+    """What a run gives: rows by dataset, every request handled, its outcome, every request that was not handled, and counts.
+
+    ``close`` removes the tables of the run from the shared folder, when its results have been read or written.
+    """
 
     rows: dict[str, DataFrame]
     requests: DataFrame
@@ -36,6 +40,10 @@ class Run:
     total: int
     duration_ms: int
     spark: SparkSession = field(repr=False, default=None)
+    folders: list[str] = field(repr=False, default_factory=list)
+
+    def close(self) -> None:
+        drop(self.spark, self.folders)
 
     def deferrals(self) -> DataFrame:
         return flows.fold_deferrals(flows.deferral_rows(self.outcomes))
@@ -51,12 +59,13 @@ class Run:
 class Client:
     """A router, a back end, datasets and a queue.
 
-    ``max_depth`` and ``dedup`` ("none" or "uri") bound a crawl over cycles; ``max_levels`` bounds one whose children
-    keep their depth. ``on_fail="abort"`` drops requests that a ``Fail`` names from later levels. ``honor_deferral``
-    waits before a level until the first of its deferred tags may go on, at most ``most_wait_s``.
+    A crawl goes on until no request is left. On request ``dedup="uri"`` handles each address once, ``max_depth`` holds back
+    what is deeper and ``max_levels`` ends the run after so many levels; what they hold back is in ``Run.left``.
+    ``on_fail="abort"`` drops requests that a ``Fail`` names from later levels. ``honor_deferral`` waits before a level
+    until the first of its deferred tags may go on, at most ``most_wait_s``.
     """
 
-    def __init__(self, spark: SparkSession, router: Router, backend: Backend, *, max_depth: int = 32, max_levels: int = 1000, dedup: str = "none", order: str = "fifo", on_fail: str = "ignore", honor_deferral: bool = False, most_wait_s: float = 60.0, clock: Callable[[], int] | None = None):
+    def __init__(self, spark: SparkSession, router: Router, backend: Backend, *, max_depth: int | None = None, max_levels: int | None = None, dedup: str = "none", order: str = "fifo", on_fail: str = "ignore", honor_deferral: bool = False, most_wait_s: float = 60.0, clock: Callable[[], int] | None = None):
         if dedup not in ("none", "uri") or order not in ("fifo", "lifo") or on_fail not in ("ignore", "abort"):
             raise ValueError("dedup is none or uri, order fifo or lifo, on_fail ignore or abort")
         self.spark, self.router, self.backend = spark, router, backend
@@ -67,7 +76,8 @@ class Client:
         self.limit = 8
         self._queue: DataFrame | None = None
         self._initial: DataFrame | None = None
-        self._stop = False
+        self._stop = self._now = False
+        self._tag = f"crawl-{uuid.uuid4().hex}"
 
     def with_request_queue(self, requests: DataFrame) -> Client:
         """Replaces the queue."""
@@ -101,9 +111,12 @@ class Client:
     def request_queue(self) -> frontier.Queue:
         return frontier.Queue()
 
-    def stop(self) -> None:
-        """No further level is begun."""
+    def stop(self, now: bool = False) -> None:
+        """No further level is begun. ``now``: the level at work is given up as well; its requests are in ``Run.left``."""
         self._stop = True
+        if now:
+            self._now = True
+            self.spark.sparkContext.cancelJobsWithTag(self._tag)
 
     def _fetched(self, level: DataFrame) -> DataFrame:
         level = level.withColumn("tag_key", tag_key(F.col("tag")))
@@ -119,8 +132,8 @@ class Client:
             return self.backend(level).select(*level.columns, *RESPONSE_COLUMNS)
         return self.backend(level.where(needs)).select(*level.columns, *RESPONSE_COLUMNS).unionByName(level.where(~needs).withColumns(none))
 
-    def _level(self, level: DataFrame, now_us: int) -> tuple[DataFrame, dict[str, DataFrame], DataFrame | None, DataFrame]:
-        done = cut(self._fetched(level))
+    def _level(self, level: DataFrame, now_us: int, folders: list[str]) -> tuple[DataFrame, dict[str, DataFrame], DataFrame | None, DataFrame]:
+        done = cut(self._fetched(level), folders)
         rows: dict[str, list[DataFrame]] = {}
         children, outcomes = [], []
         for _, handler, branch in self.router.branches(done):
@@ -135,9 +148,9 @@ class Client:
         out = union(outcomes).withColumn("at_us", F.lit(now_us).cast("bigint"))
         return done, {k: union(v) for k, v in rows.items()}, union(children) if children else None, out
 
-    def _place(self, children: DataFrame, level: DataFrame, after: int) -> DataFrame:
+    def _place(self, children: DataFrame, level: DataFrame, after: int, folders: list[str]) -> DataFrame:
         """Children in queue order: by their parent's place, then by their place among its children."""
-        placed = frontier.ordered_by(children.drop("seq"), F.col("parent_seq"), F.col("child_pos"), F.col("uri"), start=after, written=True)
+        placed = frontier.ordered_by(children.drop("seq"), F.col("parent_seq"), F.col("child_pos"), F.col("uri"), start=after, written=True, folders=folders)
         if self.order == "lifo":
             paths = level.select(F.col("seq").alias("parent_seq"), F.col("path").alias("_up"))
             placed = placed.join(paths, "parent_seq", "left").withColumn("path", F.concat(F.coalesce(F.col("_up"), F.array().cast("array<bigint>")), F.array(-F.col("seq")))).drop("_up")
@@ -167,46 +180,70 @@ class Client:
         return level.withColumn("path", F.array(-F.col("seq"))) if self.order == "lifo" else level
 
     def run(self) -> Run:
+        sc = self.spark.sparkContext
+        sc.addJobTag(self._tag)
+        try:
+            return self._drain()
+        finally:
+            sc.removeJobTag(self._tag)
+
+    def _drain(self) -> Run:
         began = time.time()
         level = self._start()
         rows: dict[str, list[DataFrame]] = {}
-        requests, outcomes, visited = [], [], None
-        levels = total = 0
-        last = None
+        requests, outcomes, held, kept = [], [], [], []
+        passing: list[str] = []  # folders that only the level at work reads
+        visited = Log(self.spark, kept) if self.dedup == "uri" else None
+        levels = total = last = 0
         if self.dedup == "uri":
             first = level.groupBy("uri").agg(F.min("seq").alias("seq"))
             level = level.join(first, ["uri", "seq"], "left_semi").select(*level.columns)
-        while not self._stop and levels < self.max_levels:
-            if self.honor_deferral and outcomes:
-                self._wait(level, reduce(DataFrame.unionByName, outcomes))
-            done, got, children, out = self._level(frontier.within(level, self.max_depth), self.clock())
-            count, top = done.agg(F.count(F.lit(1)), F.coalesce(F.max("seq"), F.lit(0))).first()
-            if not count:
-                level = level.limit(0)
+        while not self._stop and (self.max_levels is None or levels < self.max_levels):
+            now = level
+            if self.max_depth is not None:
+                now = frontier.within(level, self.max_depth)
+                deeper = cut(level.join(now.select("seq"), "seq", "left_anti").select(*level.columns), kept)
+                held += [] if deeper.isEmpty() else [deeper]
+            try:
+                if self.honor_deferral and outcomes:
+                    self._wait(now, reduce(DataFrame.unionByName, outcomes))
+                done, got, children, out = self._level(now, self.clock(), kept)
+                count, top = done.agg(F.count(F.lit(1)), F.coalesce(F.max("seq"), F.lit(0))).first()
+                if not count:
+                    level = now.limit(0)
+                    break
+                read, passing = passing, []
+                nxt = None
+                if children is not None:
+                    if self.on_fail == "abort":
+                        children = self._without_aborted(children, out)
+                    nxt = frontier.settle(self._place(children, done, max(top, last), passing))
+                    if self.dedup == "uri":
+                        seen = visited.append(done.select("uri"))
+                        nxt = cut(frontier.unseen(nxt, seen).select(*nxt.columns), passing)
+            except Exception:
+                if not self._now:
+                    raise
+                level = now
                 break
-            levels, total = levels + 1, total + count
-            last = max(top, last or 0)
+            drop(self.spark, read)
+            levels, total, last = levels + 1, total + count, max(top, last)
             for k, df in got.items():
                 rows.setdefault(k, []).append(df)
             requests.append(done.select(*[f.name for f in schema(REQUEST_DDL)], *(["path"] if self.order == "lifo" else [])))
             outcomes.append(out)
-            if children is None:
+            if nxt is None:
                 level = level.limit(0)
                 break
-            if self.on_fail == "abort":
-                children = self._without_aborted(children, out)
-            nxt = frontier.settle(self._place(children, done, last))
-            if self.dedup == "uri":
-                seen = done.select("uri")
-                visited = seen if visited is None else cut(visited.unionByName(seen))
-                nxt = cut(frontier.unseen(nxt, visited).select(*nxt.columns))
             level = nxt
+        kept += passing
         union = lambda parts, ddl: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else self.spark.createDataFrame([], schema(ddl))
         made = {k: union(v, "seq bigint") for k, v in rows.items()}
         for k, df in made.items():
             if (ds := self.catalog.try_get(k)) is not None:
                 ds.write_batch(df)
-        return Run(made, union(requests, REQUEST_DDL), union(outcomes, OUTCOME_DDL), level, levels, total, int((time.time() - began) * 1000), self.spark)
+        left = union([level, *held], REQUEST_DDL)
+        return Run(made, union(requests, REQUEST_DDL), union(outcomes, OUTCOME_DDL), left, levels, total, int((time.time() - began) * 1000), self.spark, kept)
 
     def run_once(self, requests: DataFrame) -> Run:
         """One level: handles these requests; children stay in ``left``."""
@@ -214,10 +251,11 @@ class Client:
         level = frontier.settle(frontier.as_requests(requests))
         if self.order == "lifo":
             level = level.withColumn("path", F.array(-F.col("seq")))
-        done, rows, children, out = self._level(level, self.clock())
+        kept: list[str] = []
+        done, rows, children, out = self._level(level, self.clock(), kept)
         total, last = done.agg(F.count(F.lit(1)), F.coalesce(F.max("seq"), F.lit(0))).first()
-        left = frontier.empty(self.spark) if children is None else frontier.settle(self._place(children, done, last))
-        return Run(rows, done.select(*[f.name for f in schema(REQUEST_DDL)]), out, left, 1, total, int((time.time() - began) * 1000), self.spark)
+        left = frontier.empty(self.spark) if children is None else frontier.settle(self._place(children, done, last, kept))
+        return Run(rows, done.select(*[f.name for f in schema(REQUEST_DDL)]), out, left, 1, total, int((time.time() - began) * 1000), self.spark, kept)
 
     def _wait(self, level: DataFrame, outcomes: DataFrame) -> None:
         due = flows.fold_deferrals(flows.deferral_rows(outcomes))

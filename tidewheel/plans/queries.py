@@ -317,15 +317,28 @@ def crawl_abort(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH v AS (
     SELECT 'e://region/' || r_regionkey AS uri, [-r_regionkey] AS path FROM region
     UNION ALL SELECT 'e://nation/' || n_nationkey, [-n_regionkey, -n_nationkey] FROM nation
-    UNION ALL SELECT 'e://supplier/' || s_suppkey, [-n_regionkey, -n_nationkey, -s_suppkey] FROM supplier JOIN nation ON s_nationkey = n_nationkey
+    UNION ALL SELECT 'e://supplier/' || s_suppkey, [-n_regionkey, -n_nationkey, -s_suppkey, 0] FROM supplier JOIN nation ON s_nationkey = n_nationkey
+    UNION ALL SELECT 'e://customer/' || c_custkey, [-n_regionkey, -n_nationkey, -c_custkey, 1] FROM customer JOIN nation ON c_nationkey = n_nationkey
+    UNION ALL SELECT 'e://orders/' || o_orderkey, [-n_regionkey, -n_nationkey, -c_custkey, 1, -o_orderkey] FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 ) SELECT uri, row_number() OVER (ORDER BY path) AS visit FROM v""")
 def crawl_depth_first(spark: SparkSession, d: str) -> DataFrame:
-    """The order in which a stack would visit regions, nations and suppliers."""
-    edges = _entity_edges(spark, d).where(F.col("child_tag").isin("nation", "supplier"))
-    run = Client(spark, Router().fallback(_follow(edges)), NoopBackend(), order="lifo").with_request_queue(_regions(spark, d)).run()
+    """The order in which a stack would visit the whole entity graph."""
+    run = Client(spark, Router().fallback(_follow(_entity_edges(spark, d))), NoopBackend(), order="lifo").with_request_queue(_regions(spark, d)).run()
     return frontier.ordered_by(run.requests.select("uri", "path"), F.col("path"), name="visit").select("uri", "visit")
 
 
+@query("""WITH s AS (SELECT CAST(ceil(count(*) / 40.0) AS BIGINT) AS step FROM supplier)
+SELECT 'e://supplier/' || s_suppkey AS uri, CAST(s_suppkey // step + 1 AS BIGINT) AS depth FROM supplier, s""")
+def crawl_deep(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of up to 40 requests, each found by the one before it; nothing bounds the depth."""
+    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("k"))
+    step = suppliers.agg(F.ceil(F.count(F.lit(1)) / 40.0)).first()[0]
+    uri = lambda k: F.concat(F.lit("e://supplier/"), k.cast("string"))
+    edges = suppliers.where(F.col("k") >= step).select(uri(F.col("k") - step).alias("uri"), F.lit("supplier").alias("child_tag"), uri(F.col("k")).alias("child_uri"), F.col("k").alias("child_pos"))
+    start = suppliers.where(F.col("k") < step).select(F.col("k").alias("seq"), uri(F.col("k")).alias("uri"))
+    return Client(spark, Router().fallback(_follow(edges)), NoopBackend()).with_request_queue(start).run().requests.select("uri", "depth")
+
+
 @query("""WITH RECURSIVE b AS (SELECT 0::BIGINT AS n, 1::BIGINT AS depth UNION SELECT (n + s) % 25, depth + 1 FROM b, (VALUES (1), (7)) t(s) WHERE depth < 20)
 SELECT 'n://' || n AS uri, min(depth) AS depth FROM b GROUP BY n""")
 def crawl_cycle(spark: SparkSession, d: str) -> DataFrame:
