@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Odd multipliers that choose one bit in each of the eight words of a block: odd parts of successive golden ratios.
-SALTS = (np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+# The odd multipliers of Apache Parquet's split block filters; each chooses a bit in one of the eight words.
+SALTS = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], np.uint32)
 _LANES = np.arange(8)
 #: Wrong positive answers among new keys that the filters are sized for.
 RATE = 1e-5
