@@ -35,6 +35,18 @@ def test_ordinary_text_is_unchanged(text):
     assert lookalike.consistent(text) == (False, text)
 
 
+LATIN_WORDS = {t: 0.1 for w in ("coco", "a", "cop") for t in lookalike._trigrams(w)}
+RUSSIAN_WORDS = {t: 0.2 for w in ("хор", "сор") for t in lookalike._trigrams(w)}
+
+
+@pytest.mark.parametrize("text, form", [
+    ("Open the хор door", "Open the хор door"), ("Аррӏе pie", "Apple pie"), ("раураӏ account", "paypal account"), ("a сосо shop", "a coco shop"), ("ѕсоре of work", "scope of work"),
+    ("Ꭺpple pie", "Apple pie"), ("ᏟᎪᏢ shop", "CAP shop"), ("small ᴄʜᴀʀ here", "small char here"), ("the сор said", "the сор said"), ("lost а key", "lost a key"), ("Вечер в саду", "Вечер в саду"), ("pаrк", "park"), ("ꓐook", "Book"), ("abжсd", "abжcd"),
+])
+def test_whole_words_are_told_by_their_letters_not_their_length(text, form):
+    assert lookalike.consistent(text, (), LATIN_WORDS | RUSSIAN_WORDS)[1] == form
+
+
 def test_garbled_spans_are_left_alone(garble):
     s = "Recettes mÃ¡s y río"
     assert lookalike.consistent(s, [(x.start, x.end) for x in garble.spans(s)]) == (False, s)
@@ -87,6 +99,26 @@ def test_one_garbled_title_in_a_third_of_the_rows(spark, right, wrong, correct,
     assert [d.repair(t) for t in correct] == [(False, t, True) for t in correct]
 
 
+@pytest.mark.parametrize("right, wrong", [("cp1251", "cp1252"), ("koi8_r", "cp1252"), ("cp1251", "cp437"), ("koi8_r", "cp1251")])
+def test_rare_words_are_told_by_their_letters(right, wrong):
+    words = "дорога старая новая тетрадь река берег город улица школа книга письмо окно дерево вода земля небо ветер рука голова время человек ребёнок женщина работа слово место друг начало дорогой красный белый зелёный большой маленький хороший плохой первый второй последний который потому когда между перед после через".split()
+    d = Detector({w: 50 for w in words})
+    for word in ("соседка", "горизонт", "перевозка", "молоток"):
+        g = word.encode(right).decode(wrong)
+        found, fixed, _ = d.repair(f"x {g} y")
+        assert d.repair(f"x {word} y") == (False, f"x {word} y", True)
+        assert (found, fixed) == (True, f"x {word} y") or wrong == "cp1251"  # letters of one script for another: seldom sure
+
+
+def test_garbled_many_times_and_in_one_long_token(garble):
+    text = "más"
+    for _ in range(6):
+        text = text.encode().decode("cp1252")
+    assert garble.repair(text) == (True, "más", True)
+    long = "x" * 300 + "mÃ¡s" * 20_000
+    assert garble.repair(long)[0]
+
+
 # --- residue -----------------------------------------------------------------------------------------------------------
 
 PROSE = ["Visiting the quiet bridge", "Error bars explained with a kettle", "The untitled bridge, and other paintings", "JavaScript for gardeners: the ferry course", "Counting {1, 2, 3}: sets for the class", "[Updated] compass opening hours", "The $9 kettle", "Access denied? The locked ferry of 1931", "Null island and its harbour", "Lost page of the ferry manuscript found"]

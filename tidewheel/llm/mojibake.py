@@ -11,8 +11,10 @@ The patterns are worked out once for all pairs of encodings:
 Which of two spellings is the garbled one is told by their letters (mixed scripts, signs and capitals inside words, pairs of
 letters that the corpus lacks) and by how many distinct texts hold them: copies say nothing.
 
-Corpus tokens and characters come from all rows. A token counts as common from ``min_share`` of the rows on, so there are at most (tokens a row) / ``min_share`` of them however large the corpus is; that list is
-what is broadcast.
+Corpus tokens and characters come from all rows. A token counts as common from ``min_share`` of the rows on, so there are at
+most (tokens a row) / ``min_share`` of them however large the corpus is; that list is what is broadcast. A token that is not
+common has no pattern: all pairs of encodings are tried on it, and the letters and letter pairs of the corpus tell whether
+another reading is far likelier.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ import html
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable
-from functools import cache, lru_cache
+from functools import cache, cached_property, lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import ahocorasick
@@ -41,7 +45,6 @@ WIDE_READ_AS = ("cp1252", "latin_1", "cp437", "cp850", "mac_roman")
 
 SPLIT = r"[\s\-.,:;!?|()\[\]{}/\"'<>=&#%*]+"
 _TOKEN = re.compile(r"[^\s\-.,:;!?|()\[\]{}/\"'<>=&#%*]+")
-_REACH = 64
 _BREAKS = frozenset(" -.,:;!?|()[]{}/\"'<>=&#%*")
 _UTF7 = re.compile(r"\+([A-Za-z0-9+/]{3,})-?")
 _ENTITY = re.compile(r"&[A-Za-z]{2,8}\d?;")
@@ -51,6 +54,10 @@ _SCRIPT = re.compile(r"^(?:HALFWIDTH |FULLWIDTH )?(\w+)")
 _TOGETHER = frozenset(("CJK", "HIRAGANA", "KATAKANA", "HANGUL", "IDEOGRAPHIC"))
 #: Difference in mean log likelihood of letter pairs that tells the direction; five times as many texts count as much.
 LIKELIER = 1.0
+#: A longer token is no word.
+RARE_LENGTH = 100
+#: Share of the rows from which a token is common: it gets patterns of its own. Others are judged by their letters.
+MIN_SHARE = 1e-4
 #: Only texts that match can hold a garbled sequence; tested in the JVM.
 SUSPECT = r"[^\x00-\x7F]|\+[A-Za-z0-9+/]{2}|&[A-Za-z]{2,8}[0-9]?;"
 
@@ -124,11 +131,35 @@ class _Letters:
         return sum(math.log(n(p) / self.total + 0.1 * (n(p[0]) + 0.5) / self.total * (n(p[1]) + 0.5) / self.total) for p in pairs) / len(pairs)
 
 
+class _Words:
+    """Where the tokens of one text are, and how many plain letters stand before each place; worked out once, when asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def _breaks(self) -> list[int]:
+        return [i for i, c in enumerate(self.text) if not _TOKEN.fullmatch(c)]
+
+    @cached_property
+    def _plain(self) -> list[int]:
+        return [0, *accumulate(c.isascii() and c.isalpha() for c in self.text)]
+
+    def around(self, start: int, end: int) -> tuple[int, int]:
+        """The token around a span."""
+        i, j = bisect_left(self._breaks, start), bisect_left(self._breaks, end)
+        return (self._breaks[i - 1] + 1 if i else 0), (self._breaks[j] if j < len(self._breaks) else len(self.text))
+
+    def plain(self, a: int, b: int) -> int:
+        return self._plain[b] - self._plain[a]
+
+
 class Detector:
     """Finds and restores garbled spans of one text. ``tokens``: of common non-ASCII tokens, how many distinct texts hold each."""
 
     def __init__(self, tokens: dict[str, int]):
         self.tokens = tokens
+        self.longest = max(map(len, tokens), default=0)
         self.folded: dict[str, int] = {}
         for t, n in tokens.items():
             self.folded[t.lower()] = self.folded.get(t.lower(), 0) + n
@@ -159,7 +190,7 @@ class Detector:
         self.letters = _Letters(tokens)
         garbled = set()  # tokens that are a likelier one, garbled: nothing is explained by them
         odd = {t: _oddness(t) for t in tokens}
-        for t, n in sorted(tokens.items(), key=lambda x: (odd[x[0]], -x[1])):
+        for t, n in sorted(tokens.items(), key=lambda x: (odd[x[0]], -x[1], x[0])):
             if t not in garbled and not any(0x80 <= ord(c) < 0xA0 or c == "�" for c in t):
                 for right in WRITTEN_IN:
                     try:
@@ -204,18 +235,47 @@ class Detector:
     def _boundary(self, text: str, start: int, end: int) -> bool:
         return (start == 0 or text[start - 1] in _BREAKS or text[start - 1].isspace()) and (end == len(text) or text[end] in _BREAKS or text[end].isspace())
 
-    def _token_at(self, text: str, start: int, end: int) -> tuple[int, int]:
-        """The token around a span, as far as ``_REACH`` characters to each side."""
-        first, last = max(0, start - _REACH), min(len(text), end + _REACH)
-        while start > first and _TOKEN.fullmatch(text[start - 1]):
-            start -= 1
-        while end < last and _TOKEN.fullmatch(text[end]):
-            end += 1
-        return start, end
-
     def _known(self, token: str) -> bool:
         return token in self.tokens or token.lower() in self.folded
 
+    def _known_in(self, words: _Words, spans: list[Span], a: int, b: int) -> bool:
+        """Whether the token from ``a`` to ``b`` is known once its spans are replaced; one longer than all known ones is not."""
+        start, end = spans[0].start, spans[-1].end
+        fixed = "".join(s.fixed for s in spans)
+        return (start - a) + len(fixed) + (b - end) <= self.longest + 2 and self._known(words.text[a:start] + fixed + words.text[end:b].strip())
+
+    @lru_cache(1 << 16)  # noqa: B019
+    def _rare(self, token: str) -> tuple[str, str] | None:
+        """(what a token that is not known was, the pair of encodings) if another reading of it has far likelier letters.
+
+        Every pair of single-byte encodings is tried. A reading with fewer oddities must be likelier by ``LIKELIER``, one
+        with as many by three times that; a known one by nothing, if it has fewer.
+        """
+        from tidewheel.llm.lookalike import consistent
+
+        if consistent(token)[0] or any(unicodedata.category(c) == "Cf" for c in token):
+            return None  # written with other characters, not read wrongly
+        odd, like, best = _oddness(token), self.letters.likelihood(token, 0), None
+        for wrong in READ_AS:
+            try:
+                raw = token.encode(wrong)
+            except UnicodeEncodeError:
+                continue
+            for right in WRITTEN_IN:
+                if right == wrong:
+                    continue
+                try:
+                    was = raw.decode(right)
+                except UnicodeDecodeError:
+                    continue
+                if was == token or was.isascii() or not was.strip("'’-").isalpha() or (other := _oddness(was)) > odd:
+                    continue
+                gain = self.letters.likelihood(was, 0) - like
+                need = 0 if other < odd and self._known(was) else LIKELIER if other < odd else 3 * LIKELIER
+                if gain > need and (best is None or gain > best[0]):
+                    best = gain, was, right + wrong
+        return best and best[1:]
+
     def spans(self, text: str) -> list[Span]:
         """Disjoint garbled spans in order; empty for correct text, an empty text included."""
         by_kind: dict[str, list[Span]] = {"utf8": [], "token": [], "wide": [], "utf7": [], "lost": []}
@@ -228,8 +288,14 @@ class Detector:
             for kind, fixed, pair in others:
                 hit = True
                 by_kind[kind].append(Span(start, end, fixed if kind != "lost" else None, pair))
-        if not hit and "+" not in text:
+        rare = []
+        if not text.isascii():
+            for m in _TOKEN.finditer(text):
+                if not (t := m.group()).isascii() and len(t) <= RARE_LENGTH and not self._known(t) and sum(map(str.isalpha, t)) > 1 and (was := self._rare(t)):
+                    rare.append(Span(m.start(), m.end(), *was))
+        if not hit and not rare and "+" not in text:
             return []
+        seen = _Words(text)
         out: list[Span] = []
         for m in _UTF7.finditer(text):
             try:
@@ -239,11 +305,12 @@ class Detector:
             if d and all(ord(c) > 127 and (c.isalpha() or 0x2010 <= ord(c) <= 0x203A or 0xA0 <= ord(c) < 0xC0) for c in d):
                 out.append(Span(m.start(), m.end(), d))
         out += by_kind["utf7"]
-        narrow = _by_pair(by_kind["utf8"], lambda found: self._utf8(text, found))
-        wide = _by_pair(by_kind["wide"], lambda found: self._wide(text, found))
+        narrow = _by_pair(by_kind["utf8"], lambda found: self._utf8(seen, found))
+        wide = _by_pair(by_kind["wide"], lambda found: self._wide(seen, found))
         out += narrow + wide if _most(narrow) >= _most(wide) else wide + narrow
         words = sorted(by_kind["token"], key=lambda s: -self.tokens.get(s.fixed, 0))
         out += _by_pair(words, lambda found: found)
+        out += rare
         out += by_kind["lost"]
         kept, taken = [], bytearray(len(text))
         for s in out:  # what was found first explains more
@@ -266,8 +333,9 @@ class Detector:
         if run:
             yield run
 
-    def _utf8(self, text: str, spans: list[Span]) -> Iterable[Span]:
+    def _utf8(self, words: _Words, spans: list[Span]) -> Iterable[Span]:
         """Spans of one pair of encodings. Where one run is certain, doubtful ones of the same pair are believed."""
+        text = words.text
         doubtful, sure = [], []
         for run in self._runs(spans):
             start, end = run[0].start, run[-1].end
@@ -277,37 +345,41 @@ class Detector:
             if not certain and not run[0].pair.endswith("~"):
                 certain = any(not c.isalpha() and not c.isspace() and c != "\xad" for c in seen) and not _ends_a_word(text, start, end)
             if not certain:
-                a, b = self._token_at(text, start, end)
-                certain = self._known(text[a:start] + "".join(s.fixed for s in run) + text[end:b].strip())
+                a, b = words.around(start, end)
+                certain = self._known_in(words, run, a, b)
             if not certain and blank:
-                certain = any(self._known(x) for x in _TOKEN.findall(text[a:start] + "".join(s.fixed for s in run) + text[end:b]) if not x.isascii())
+                near = text[max(a, start - self.longest) : start] + "".join(s.fixed for s in run) + text[end : min(b, end + self.longest)]
+                certain = any(self._known(x) for x in _TOKEN.findall(near) if not x.isascii())
             if certain:
                 sure += run
             elif not blank:
                 doubtful += run
         return sure + doubtful if sure else []
 
-    def _wide(self, text: str, spans: list[Span]) -> Iterable[Span]:
+    def _wide(self, words: _Words, spans: list[Span]) -> Iterable[Span]:
+        text = words.text
         for run in self._runs(spans):
             start, end = run[0].start, run[-1].end
             odd = sum(1 for c in text[start:end] if not c.isascii() and not (c.isalpha() and ord(c) < 0x250 and c.islower() and c != "ƒ"))
-            if len(run) > 1 and odd >= 2 and self._boundary_non_latin(text, start, end):
+            if len(run) > 1 and odd >= 2 and self._boundary_non_latin(words, start, end):
                 yield from run
 
-    def _boundary_non_latin(self, text: str, start: int, end: int) -> bool:
+    def _boundary_non_latin(self, words: _Words, start: int, end: int) -> bool:
         """Correct Latin words hold plain letters beside the sequence; garbled ones seldom do."""
-        a, b = self._token_at(text, start, end)
-        plain = sum(c.isascii() and c.isalpha() for c in text[a:start] + text[end:b])
-        return plain <= (end - start)
+        a, b = words.around(start, end)
+        return words.plain(a, start) + words.plain(end, b) <= end - start
 
     def repair(self, text: str) -> tuple[bool, str, bool]:
-        """(garbled, text with its garbled spans replaced, whether all of them could be). Correct text comes back as it is."""
-        garbled, whole = False, True
-        for _ in range(4):  # encoded wrongly more than once
-            plain = text
-            if _ENTITY.search(text):
-                plain = html.unescape(text)
+        """(garbled, text with its garbled spans replaced, whether all of them could be). Correct text comes back as it is.
+
+        A text that was encoded wrongly several times is restored as often, until nothing changes or a text comes back.
+        """
+        garbled, left, seen = False, False, set()
+        while text not in seen:
+            seen.add(text)
+            plain = html.unescape(text) if _ENTITY.search(text) else text
             spans = self.spans(plain)
+            left = bool(spans)
             if not spans:
                 break
             garbled = True
@@ -317,13 +389,8 @@ class Detector:
                 out.append(plain[s.start : s.end] if s.fixed is None else s.fixed)
                 at = s.end
             out.append(plain[at:])
-            new = "".join(out)
-            if new == text:
-                break
-            text = new
-        if garbled:
-            whole = not any(c == "�" or 0x80 <= ord(c) < 0xA0 for c in text)
-        return garbled, text, whole
+            text = "".join(out)
+        return garbled, text, not left and not any(c == "�" or 0x80 <= ord(c) < 0xA0 for c in text) if garbled else True
 
 
 def _ends_a_word(text: str, start: int, end: int) -> bool:
@@ -355,7 +422,7 @@ def _by_pair(spans: list[Span], keep) -> list[Span]:
     return [s for found in sorted(kept, key=lambda x: (-sum(s.end - s.start for s in x), order.get(x[0].pair, 99) if x else 0)) for s in found]
 
 
-def corpus_tokens(columns: list[Column], frames: list[DataFrame], min_share: float = 1e-5) -> dict[str, int]:
+def corpus_tokens(columns: list[Column], frames: list[DataFrame], min_share: float = MIN_SHARE) -> dict[str, int]:
     """Of the non-ASCII tokens in at least ``min_share`` of the rows (and in two), how many distinct texts hold each; over all rows.
 
     One exchange of the distinct non-ASCII texts and one of tokens, both after partial aggregation; the result is bounded

@@ -28,14 +28,19 @@ def _garble_tokens(spark: SparkSession, frames: list[DataFrame]):
     return spark.sparkContext.broadcast(mojibake.corpus_tokens([F.col("text")] * len(frames), frames))
 
 
-@query
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
+def _titles_and_names(spark: SparkSession, d: str):
+    """Titles and names, and what is learned of both: the tokens of garbled titles, the words of confusable letters."""
     (titles,) = _titles(spark, d, "page_content")
     (names,) = _titles(spark, d, "user_records", column="name")
-    shared = _garble_tokens(spark, [titles])
+    return titles, names, _garble_tokens(spark, [titles]), spark.sparkContext.broadcast(lookalike.word_shapes([titles, names]))
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    titles, names, shared, shapes = _titles_and_names(spark, d)
     keys = ["table_name", "seq"]
     found = [
-        lookalike.unify_suspects(df.select(*keys, F.col("text").alias("_text")).where(F.col("_text").isNotNull()), keys, tokens, only_changed=True)
+        lookalike.unify_suspects(df.select(*keys, F.col("text").alias("_text")).where(F.col("_text").isNotNull()), keys, tokens, only_changed=True, shapes=shapes)
         for df, tokens in ((titles, shared), (names, None))
     ]
     return found[0].unionByName(found[1]).select(*keys)
@@ -44,10 +49,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every title and name in its consistent form."""
-    (titles,) = _titles(spark, d, "page_content")
-    (names,) = _titles(spark, d, "user_records", column="name")
+    titles, names, shared, shapes = _titles_and_names(spark, d)
     keys = ["table_name", "seq"]
-    return lookalike.unify(titles, "text", keys, _garble_tokens(spark, [titles])).unionByName(lookalike.unify(names, "text", keys))
+    return lookalike.unify(titles, "text", keys, shared, shapes).unionByName(lookalike.unify(names, "text", keys, shapes=shapes))
 
 
 @query
