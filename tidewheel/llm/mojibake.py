@@ -107,6 +107,13 @@ def _oddness(token: str) -> int:
     return mixed + signs + sum(a.islower() and b.isupper() for a, b in zip(inner, inner[1:]))
 
 
+def _disguised(token: str) -> bool:
+    """Whether a token is written with other characters rather than read wrongly."""
+    from tidewheel.llm.lookalike import consistent
+
+    return any(unicodedata.category(c) == "Cf" for c in token) or consistent(token)[0]
+
+
 class _Letters:
     """Letters and their pairs in the corpus's tokens, each token as often as distinct texts hold it."""
 
@@ -244,6 +251,20 @@ class Detector:
         fixed = "".join(s.fixed for s in spans)
         return (start - a) + len(fixed) + (b - end) <= self.longest + 2 and self._known(words.text[a:start] + fixed + words.text[end:b].strip())
 
+    @lru_cache(1 << 16)  # noqa: B019
+    def _as_utf8(self, token: str) -> tuple[str, str] | None:
+        """(what a token was, the encoding it was read in) if all of it is UTF-8 read otherwise: at least two characters of it, with fewer oddities then."""
+        if _disguised(token):
+            return None
+        for wrong in READ_AS:
+            try:
+                was = token.encode(wrong).decode("utf-8")
+            except UnicodeError:
+                continue
+            if len(was) < len(token) - 1 and _oddness(was) < _oddness(token):
+                return was, wrong
+        return None
+
     @lru_cache(1 << 16)  # noqa: B019
     def _rare(self, token: str) -> tuple[str, str] | None:
         """(what a token that is not known was, the pair of encodings) if another reading of it has far likelier letters.
@@ -251,10 +272,8 @@ class Detector:
         Every pair of single-byte encodings is tried. A reading with fewer oddities must be likelier by ``LIKELIER``, one
         with as many by three times that; a known one by nothing, if it has fewer.
         """
-        from tidewheel.llm.lookalike import consistent
-
-        if consistent(token)[0] or any(unicodedata.category(c) == "Cf" for c in token):
-            return None  # written with other characters, not read wrongly
+        if _disguised(token):
+            return None
         odd, like, best = _oddness(token), self.letters.likelihood(token, 0), None
         for wrong in READ_AS:
             try:
@@ -288,15 +307,18 @@ class Detector:
             for kind, fixed, pair in others:
                 hit = True
                 by_kind[kind].append(Span(start, end, fixed if kind != "lost" else None, pair))
-        rare = []
+        rare, all_of_it = [], []
         if not text.isascii():
             for m in _TOKEN.finditer(text):
-                if not (t := m.group()).isascii() and len(t) <= RARE_LENGTH and not self._known(t) and sum(map(str.isalpha, t)) > 1 and (was := self._rare(t)):
-                    rare.append(Span(m.start(), m.end(), *was))
-        if not hit and not rare and "+" not in text:
+                if not (t := m.group()).isascii() and len(t) <= RARE_LENGTH and not self._known(t) and sum(map(str.isalpha, t)) > 1:
+                    if was := self._as_utf8(t):
+                        all_of_it.append(Span(m.start(), m.end(), *was))
+                    elif was := self._rare(t):
+                        rare.append(Span(m.start(), m.end(), *was))
+        if not hit and not rare and not all_of_it and "+" not in text:
             return []
         seen = _Words(text)
-        out: list[Span] = []
+        out: list[Span] = all_of_it
         for m in _UTF7.finditer(text):
             try:
                 d = m.group().encode().decode("utf-7")
