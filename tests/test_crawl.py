@@ -156,6 +156,34 @@ def test_datasets(spark):
         wrapped.write(spark, (1,))
 
 
+def test_a_stack_keeps_ranges_not_keys(spark):
+    s = Dataset.stacked(spark, "x int")
+    for n in range(1, 6):
+        s.write(spark, (n,))
+    assert [r["x"] for r in s.read_batch(2).collect()] == [5, 4] and s._read == [(4, 5)]
+    s.write(spark, (6,)).write(spark, (7,))
+    assert [r["x"] for r in s.read_batch(1).collect()] == [7] and s._read == [(4, 5), (7, 7)]
+    assert [r["x"] for r in s.read_batch(2).collect()] == [6, 3] and s._read == [(3, 7)]
+    assert s.len() == 2 and [r["x"] for r in s.read_all().collect()] == [2, 1] and s.read_batch(3).count() == 0
+    q = Dataset.queue(spark, "x int")
+    assert q.read() is None and q.read_batch(2).count() == 0
+    q.write(spark, (1,)).write(spark, (1,))
+    assert [r["x"] for r in q.read_batch(1).collect()] == [1] and q.len() == 1
+
+
+def test_a_split_dataset_streams(spark):
+    ds = Dataset.of(spark, [(1,), (2,), (3,)], "x int")
+    assert ds.read()["x"] == 1
+    sink, stream = ds.into_split()
+    got = []
+    take = lambda batch, _: got.extend((r["seq"], r["x"]) for r in batch.collect())
+    stream.drain(take)
+    assert sorted(got) == [(2, 2), (3, 3)] and ds.is_empty() and sink is not stream
+    sink.push(spark.createDataFrame([(9,)], "x int"))
+    stream.drain(take)
+    assert sorted(got) == [(2, 2), (3, 3), (4, 9)] and stream.frame().isStreaming
+
+
 def test_catalog(spark):
     c = Catalog(spark)
     a = c.get("a", "x int")

@@ -1,4 +1,8 @@
-from pyspark.sql import functions as F
+import os
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 
 from tidewheel.operators.router import Handled, Router
 from tidewheel.plans.crawl import Client
@@ -25,18 +29,33 @@ def test_crawl_of_a_stream(spark, tmp_path):
     assert sorted(seen) == ["a", "b"]
 
 
-def test_deferral_over_several_batches(spark, tmp_path):
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    rows = [(i, "k", 100 + 7 * i % 13, 5) for i in range(9)]
-    for i in range(0, 9, 3):
-        spark.createDataFrame(rows[i : i + 3], "seq bigint, tag_key string, now_us bigint, d_us bigint").coalesce(1).write.mode("append").parquet(source)
-    stream = streaming.stream_of(spark, source, "seq bigint, tag_key string, now_us bigint, d_us bigint", files_per_batch=1)
-    q = streaming.deferral_stream(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
-    q.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/n={n}")).start().awaitTermination()
+def brute(rows):
     until = None
     for _, _, now, d in rows:
         until = now + d if until is None else max(until, now) + d
-    assert spark.read.parquet(out).agg(F.max("not_before_us")).first()[0] == until
+    return until
+
+
+@pytest.mark.parametrize("per_batch", [1, None])
+def test_deferral_over_many_files(spark, tmp_path, per_batch):
+    source, state, types = str(tmp_path / "in"), str(tmp_path / "state"), "seq bigint, tag_key string, now_us bigint, d_us bigint"
+    rows = [(i, "hot", 100 + 7 * i % 13, 5) for i in range(70)]
+    files = 7 if per_batch else 70
+    given = rows if per_batch else rows[::-1]  # one batch is put in order whatever the order of its files
+    for i in range(files):
+        part = given[i * 70 // files : (i + 1) * 70 // files]
+        pq.write_table(pa.Table.from_pylist([dict(zip(("seq", "tag_key", "now_us", "d_us"), r)) for r in part]), _made(tmp_path / "in") / f"{i:03}.parquet")
+        os.utime(tmp_path / "in" / f"{i:03}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    q = streaming.deferral_stream(streaming.stream_of(spark, source, types, per_batch), state, str(tmp_path / "c"))
+    q.awaitTermination()
+    last = q.lastProgress["batchId"]
+    assert last == (files - 1 if per_batch else 0)
+    assert [tuple(r) for r in streaming.deferral_state(spark, state, last).collect()] == [("hot", brute(rows))]
+
+
+def _made(folder):
+    folder.mkdir(exist_ok=True)
+    return folder
 
 
 def test_counters(spark):

@@ -127,12 +127,12 @@ def deferral_rows(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def fold_deferrals(rows: DataFrame) -> DataFrame:
-    """(tag_key, not_before_us) after all rows in ``seq`` order.
+def run_deferrals(rows: DataFrame) -> DataFrame:
+    """(tag_key, d, m): each key's rows in ``seq`` order as one run, its sum of d and its greatest (now - sum of d before it).
 
-    The rule (first: now + d; later: the greater of the time so far and now, + d) is a max-plus fold: a run of rows is
-    told by its sum of d and its greatest (now - sum of d before it), and runs join associatively. A key is folded in
-    runs of consecutive ``seq``, so that a hot key is spread over tasks; then its runs are folded.
+    The rule (first: now + d; later: the greater of the time so far and now, + d) is a max-plus fold, so runs join
+    associatively: after a run the time is d + the greater of m and the time before. A key is folded in runs of consecutive
+    ``seq``, so that a hot key is spread over tasks; then its runs are folded.
     """
     from pyspark.sql import Window
 
@@ -148,7 +148,17 @@ def fold_deferrals(rows: DataFrame) -> DataFrame:
     )
     outer = Window.partitionBy("tag_key").orderBy("_run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = runs.withColumn("_before", F.sum("_d").over(outer) - F.col("_d"))
-    return joined.groupBy("tag_key").agg((F.sum("_d") + F.max(F.col("_m") - F.col("_before"))).cast("bigint").alias("not_before_us"))
+    return joined.groupBy("tag_key").agg(F.sum("_d").cast("bigint").alias("d"), F.max(F.col("_m") - F.col("_before")).cast("bigint").alias("m"))
+
+
+def fold_deferrals(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(tag_key, not_before_us) after all rows in ``seq`` order, which come after what led to ``before`` (of the same columns)."""
+    runs = run_deferrals(rows)
+    if before is None:
+        return runs.select("tag_key", (F.col("d") + F.col("m")).alias("not_before_us"))
+    both = runs.join(before, "tag_key", "full")
+    after = F.coalesce(F.col("d") + F.greatest("m", "not_before_us"), F.col("not_before_us"))
+    return both.select("tag_key", after.alias("not_before_us"))
 
 
 def aborted_tags(outcomes: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidewheel.operators.frontier import ordered_by
+from tidewheel.sources.shared import Log
 
 Map = Callable[[DataFrame], DataFrame]
 
@@ -28,7 +29,9 @@ class Dataset:
     from_store: Map | None = None
     map_error: Callable[[Exception], Exception] | None = None
     unbounded: bool = False
-    _taken: list = field(default_factory=lambda: [0, None])  # rows read of a queue; smallest seq read of a stack
+    #: Ranges of ``seq`` that were read, disjoint and in order: one of a queue; of a stack one more for each time that rows
+    #: were written between reads, until the rows below are read as well.
+    _read: list[tuple[int, int]] = field(default_factory=list)
 
     @classmethod
     def queue(cls, spark: SparkSession, schema: StructType | str) -> Dataset:
@@ -64,12 +67,20 @@ class Dataset:
 
     boxed_clone = as_dataset = boxed
 
-    def into_split(self) -> tuple[Dataset, Dataset]:
-        """A sink and a stream of the same rows."""
-        return self, self
+    def into_split(self, checkpoint: str | None = None) -> tuple[DataSink, DataStream]:
+        """A handle to write with and one to read a stream with, over one growing table in the shared folder. It begins with
+        the rows that were not read yet; they count as read here."""
+        log = Log(self.rows.sparkSession, [])
+        sink = DataSink(self, log, (self.rows.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]))
+        log.append(self.left().select(*self.rows.columns))
+        self._take_all()
+        return sink, DataStream(self, log, checkpoint)
 
-    def into_sink(self) -> Dataset:
-        return self
+    def into_sink(self) -> DataSink:
+        return self.into_split()[0]
+
+    def into_stream(self, checkpoint: str | None = None) -> DataStream:
+        return self.into_split(checkpoint)[1]
 
     def write_batch(self, df: DataFrame) -> Dataset:
         """Appends rows, all or none. Their ``seq``, if any, is their order; they come after what is there."""
@@ -96,21 +107,31 @@ class Dataset:
 
     def left(self) -> DataFrame:
         """Rows not read yet, in reading order."""
-        if self.stack:
-            df = self.rows if not self._taken[1] else self.rows.where(~F.col("seq").isin(self._taken[1]))
-            return df.orderBy(F.desc("seq"))
-        return self.rows.where(F.col("seq") > self._taken[0]).orderBy("seq")
+        unread = F.lit(True)
+        for low, high in self._read:
+            unread = unread & ~F.col("seq").between(low, high)
+        return self.rows.where(unread).orderBy(F.desc("seq") if self.stack else F.asc("seq"))
 
     def read_batch(self, count: int) -> DataFrame:
-        """The next ``count`` rows: a top-k, not a sort of all."""
-        got = self.left().limit(count)
-        seqs = [r["seq"] for r in got.select("seq").collect()]
-        rows = self.rows.where(F.col("seq").isin(seqs)).orderBy(F.desc("seq") if self.stack else F.asc("seq"))
-        if self.stack:
-            self._taken = [0, (self._taken[1] or []) + seqs]
-        elif seqs:
-            self._taken = [max(seqs), None]
-        return self._out(rows)
+        """The next ``count`` rows: a top-k, not a sort of all. Only the bounds of their ``seq`` come to the driver."""
+        low, high = self.left().limit(count).agg(F.min("seq"), F.max("seq")).first()
+        if low is None:
+            return self._out(self.rows.limit(0))
+        got = self.left().where(F.col("seq").between(low, high))
+        self._note(low, high)
+        return self._out(got)
+
+    def _note(self, low: int, high: int) -> None:
+        """Marks a range as read. Reading takes from one end, so ranges that it reaches or passes become one with it."""
+        if not self.stack:
+            low = min([low, *(a for a, _ in self._read)])
+        below = [(a, b) for a, b in self._read if b < low - 1]
+        joined = [(a, b) for a, b in self._read if b >= low - 1]
+        self._read = [*below, (min([low, *(a for a, _ in joined)]), max([high, *(b for _, b in joined)]))]
+
+    def _take_all(self) -> None:
+        low, high = self.rows.agg(F.min("seq"), F.max("seq")).first()
+        self._read = [] if low is None else [(low, high)]
 
     def read(self):
         """The next row, or None."""
@@ -118,15 +139,9 @@ class Dataset:
 
     def read_all(self) -> DataFrame:
         df = self.left()
-        if self.stack:
-            self._taken = [0, None]
-            self.rows = self.rows.limit(0)
-        else:
-            self._taken = [self.rows.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0], None]
+        self._take_all()
         return self._out(df)
 
-    into_stream = read_all
-
     def len(self) -> int:
         """Rows left; 0 for an external stream, whose size nobody knows."""
         return 0 if self.unbounded else self.left().count()
@@ -135,6 +150,40 @@ class Dataset:
         return self.unbounded or self.left().isEmpty()
 
 
+class DataSink:
+    """The writing end of a dataset that was split: each push appends rows to the table that the stream reads."""
+
+    def __init__(self, dataset: Dataset, log: Log, last: int):
+        self.dataset, self.log, self.last = dataset, log, last
+
+    def push(self, df: DataFrame) -> DataSink:
+        own = self.dataset
+        df = own.to_store(df) if own.to_store else df
+        order = F.col("_o")
+        df = df.withColumnRenamed("seq", "_o") if "seq" in df.columns else df.withColumn("_o", F.monotonically_increasing_id())
+        df = ordered_by(df, order, start=self.last).drop("_o").select(*own.rows.columns)
+        self.log.append(df)
+        self.last = self.log.rows().agg(F.max("seq")).first()[0] or self.last
+        return self
+
+    write_batch = push
+
+
+class DataStream:
+    """The reading end of a dataset that was split: a stream of its table. ``drain`` ends where there is nothing left."""
+
+    def __init__(self, dataset: Dataset, log: Log, checkpoint: str | None = None):
+        self.dataset, self.log, self.checkpoint = dataset, log, checkpoint or f"{log.path}-checkpoint"
+
+    def frame(self) -> DataFrame:
+        rows = self.log.spark.readStream.schema(self.log.schema).parquet(self.log.path)
+        return self.dataset.from_store(rows) if self.dataset.from_store else rows
+
+    def drain(self, each: Callable[[DataFrame, int], None]) -> None:
+        """Gives what was not read yet to ``each``, batch by batch; called again, it goes on where it ended."""
+        self.frame().writeStream.foreachBatch(each).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def _with_seq(df: DataFrame) -> DataFrame:
     return df if "seq" in df.columns else df.withColumn("seq", F.lit(0).cast("bigint"))
 

@@ -415,19 +415,15 @@ def deferral_fold(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_FOLD)
 def deferral_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The same fold as keyed state of a stream."""
+    """The same fold as the state of a stream."""
     from tidewheel.streaming import frontier as streaming
 
     work = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = flow.deferral_rows(_event_outcomes(spark, d)).select("seq", "tag_key", "now_us", "d_us")
     rows.write.parquet(f"{work}/in")
-    stream = streaming.stream_of(spark, f"{work}/in", rows.schema)
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{work}/out/batch={number}")
-
-    streaming.deferral_stream(stream).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("tag_key string, not_before_us bigint, batch int").parquet(f"{work}/out").groupBy("tag_key").agg(F.max("not_before_us").alias("not_before_us"))
+    query_ = streaming.deferral_stream(streaming.stream_of(spark, f"{work}/in", rows.schema), f"{work}/state", f"{work}/checkpoint")
+    query_.awaitTermination()
+    return streaming.deferral_state(spark, f"{work}/state", query_.lastProgress["batchId"])
 
 
 @query("""SELECT event_id, event_type = 'click' AND event_id % 10 <> 0 AS by_owner, event_type = 'view' AS by_single, event_type IN ('view', 'signup') AS by_list, true AS by_every FROM events""")

@@ -48,6 +48,9 @@ class Log:
         """All rows so far, these included."""
         df.write.mode("append").parquet(self.path)
         self.schema = df.schema
+        return self.rows()
+
+    def rows(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
 

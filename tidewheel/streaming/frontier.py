@@ -1,24 +1,25 @@
-"""Streaming: a table as a stream, sinks, a frontier fed by a stream, and deferral as keyed state."""
+"""Streaming: a table as a stream, sinks, a frontier fed by a stream, and deferral as a state table."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tidewheel.functions import flow as flows
 from tidewheel.operators import frontier
 from tidewheel.plans.crawl import Client, Run
 
 DEFERRAL_DDL = "tag_key string, not_before_us bigint"
 
 
-def stream_of(spark: SparkSession, folder: str, types: StructType | str, files_per_batch: int = 64) -> DataFrame:
-    """The parquet files of a folder as a stream."""
-    return spark.readStream.schema(types).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def stream_of(spark: SparkSession, folder: str, types: StructType | str, files_per_batch: int | None = None) -> DataFrame:
+    """The parquet files of a folder as a stream. What is there is one batch, unless ``files_per_batch`` splits it."""
+    reader = spark.readStream.schema(types)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(folder)
 
 
 def to_sink(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
@@ -38,22 +39,23 @@ def crawl_stream(requests: DataFrame, client: Callable[[SparkSession], Client],
     return requests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def deferral_stream(rows: DataFrame) -> DataFrame:
-    """Running not-before time of each key from a stream of (seq, tag_key, now_us, d_us); update mode.
+def deferral_stream(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the not-before time of each key of a stream of (seq, tag_key, now_us, d_us) in a table; see :func:`deferral_state`.
 
-    State is two numbers a key. Within a batch a key's rows come in Arrow batches of any number and are folded in ``seq``
-    order; rows of a later batch count as later.
+    Each batch is folded as a table is: in runs of ``seq`` that are spread over tasks, however hot a key; then it is joined to
+    the state before it, two numbers a key. Rows of a later batch count as later. A batch that runs again writes the same state again.
     """
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        until = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        for now, d in zip(rows["now_us"], rows["d_us"]):
-            until = now + d if until is None else max(until, now) + d
-        state.update((int(until),))
-        yield pd.DataFrame({"tag_key": [key[0]], "not_before_us": [int(until)]})
+    def keep(batch: DataFrame, number: int) -> None:
+        before = deferral_state(batch.sparkSession, folder, number - 1) if number else None
+        flows.fold_deferrals(batch, before).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    return rows.groupBy("tag_key").applyInPandasWithState(fold, DEFERRAL_DDL, "not_before_us bigint", "update", "NoTimeout")
+    return rows.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def deferral_state(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    """(tag_key, not_before_us) after batch ``number``."""
+    return spark.read.schema(DEFERRAL_DDL).parquet(f"{folder}/batch={number}")
 
 
 def counters_stream(outcomes: DataFrame) -> DataFrame:
