@@ -92,3 +92,11 @@ def browser_content(html_: Column, inner_text: Column, extract_html: bool = True
     """Content of a rendered page: HTML if asked for or if nothing is, else its text (``""`` where there is none), cut at a size."""
     chosen = html_ if extract_html or not extract_text else F.coalesce(inner_text, F.lit(""))
     return truncate_bytes(chosen, most_bytes)
+
+
+def content_bytes(html_: str, inner_text: str | None, extract_html: bool, extract_text: bool, most_bytes: int) -> bytes:
+    """The same of one page, where it is fetched in Python."""
+    raw = (html_ if extract_html or not extract_text else inner_text or "").encode()
+    if len(raw) > most_bytes:
+        raw = raw[:most_bytes].decode(errors="ignore").encode()
+    return raw

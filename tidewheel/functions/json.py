@@ -86,9 +86,11 @@ def user_fields(s: Column, source_url: Column) -> Column:
 
 
 def links(s: Column, most: int = 2) -> Column:
-    """The first ``most`` string values of an object that begin with ``http``, by key."""
-    values = F.transform(keys(s), lambda k: F.element_at(F.from_json(s, "map<string,string>"), k))
-    return F.when(kind(s) == "object", F.slice(F.filter(values, lambda v: F.startswith(v, F.lit("http"))), 1, most))
+    """The first ``most`` string values of an object that begin with ``http``, by key. The document is parsed once, to a map."""
+    at = F.from_json(s, "map<string,string>")
+    entries = F.array_sort(F.transform(F.map_entries(at), lambda e: F.struct(e["key"], e["value"])))
+    values = F.transform(F.filter(entries, lambda e: F.startswith(e["value"], F.lit("http"))), lambda e: e["value"])
+    return F.when(kind(s) == "object", F.slice(values, 1, most))
 
 
 def discovery_rows(s: Column, url: Column) -> Column:

@@ -30,6 +30,23 @@ class Field:
     required: bool = True
 
 
+def required_attributes(fields: dict[str, Field]) -> list[str]:
+    return [k for k, f in fields.items() if f.required]
+
+
+def optional_attributes(fields: dict[str, Field]) -> list[str]:
+    return [k for k, f in fields.items() if not f.required]
+
+
+def from_attributes(values: Column, fields: dict[str, Field]) -> Column:
+    """A row made from a map of texts: each field in its type; null where a required one is absent or not of its type."""
+    typed = {k: F.try_element_at(values, F.lit(k)).try_cast(f.kind) for k, f in fields.items()}
+    whole = F.lit(True)
+    for k in required_attributes(fields):
+        whole = whole & typed[k].isNotNull()
+    return F.when(whole, F.struct(*[c.alias(k) for k, c in typed.items()]))
+
+
 class Node:
     __slots__ = ("tag", "attrs", "parent", "children", "order")
 

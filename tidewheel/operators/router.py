@@ -102,7 +102,7 @@ class Router:
         return self
 
     def with_state(self, state) -> Router:
-        """Handlers that take ``state`` get it, the fallback included."""
+        """Handlers that take ``state`` get it, those that take a part of it by name get that; the fallback included."""
         give = lambda h: _with_state(h, state)
         given = {id(h): give(h) for h in self._routes.values()}
         self._routes = {k: given[id(h)] for k, h in self._routes.items()}
@@ -137,14 +137,21 @@ def _wrapped(layer: Layer, handler: Handler) -> Handler:
     return out
 
 
-def _with_state(handler: Handler, state) -> Handler:
+def parameters(handler: Handler) -> set[str]:
     import inspect
 
     try:
-        takes = "state" in inspect.signature(handler).parameters
+        return set(inspect.signature(handler).parameters)
     except (TypeError, ValueError):
-        takes = False
-    return partial(handler, state=state) if takes else handler
+        return set()
+
+
+def _with_state(handler: Handler, state) -> Handler:
+    """Gives a handler the state, and parts of it to parameters that have their names (keys of a dict, attributes else)."""
+    has = (lambda n: n in state) if isinstance(state, dict) else (lambda n: hasattr(state, n))
+    part = (lambda n: state[n]) if isinstance(state, dict) else (lambda n: getattr(state, n))
+    given = {n: state if n == "state" else part(n) for n in parameters(handler) - {"rows", "client"} if n == "state" or has(n)}
+    return partial(handler, **given) if given else handler
 
 
 @lru_cache(maxsize=4)

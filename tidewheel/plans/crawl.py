@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidewheel.functions import flow as flows
 from tidewheel.operators import frontier
 from tidewheel.operators.datasets import Catalog, Dataset
-from tidewheel.operators.router import Router, outcome_rows
+from tidewheel.operators.router import Router, outcome_rows, parameters
 from tidewheel.schemas import OUTCOME_DDL, REQUEST_DDL, schema, tag_key
 from tidewheel.sources.backends import RESPONSE_COLUMNS, Backend
 from tidewheel.sources.shared import Log, cut, drop
@@ -138,7 +138,8 @@ class Client:
         children, outcomes = [], []
         for _, handler, branch in self.router.branches(done):
             view = branch.withColumn("request_body", F.col("body")).withColumn("body", F.col("response_body"))
-            got = handler(view.where(F.col("connect_error").isNull()))
+            asks = {"client": self.backend} if "client" in parameters(handler) else {}
+            got = handler(view.where(F.col("connect_error").isNull()), **asks)
             for name, df in got.rows.items():
                 rows.setdefault(name, []).append(df)
             if got.children is not None:

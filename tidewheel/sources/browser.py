@@ -1,4 +1,4 @@
-"""Settings of browser back ends, checked when they are made. No browser is driven: pages come from a table."""
+"""Settings of browser back ends, checked when they are made, and pages that come from a table (``pool`` drives browsers)."""
 
 from __future__ import annotations
 
@@ -85,7 +85,7 @@ class BehaviorConfig:
 
 @dataclass(frozen=True)
 class PoolConfig:
-    """Size and upkeep of a pool of connections; one client per partition stands for it here."""
+    """Endpoints, size and upkeep of a pool of connections."""
 
     configs: tuple[BrowserConfig, ...] = ()
     max_size: int = 10
@@ -115,15 +115,35 @@ class PoolConfig:
     def with_max_retry_attempts(self, n: int) -> PoolConfig:
         return replace(self, max_retry_attempts=max(1, n))
 
+    def with_sizes(self, max_size: int | None = None, min_size: int | None = None) -> PoolConfig:
+        return replace(self, max_size=self.max_size if max_size is None else max_size, min_size=self.min_size if min_size is None else min_size)
+
+    def with_times(self, acquire_s: float | None = None, lifetime_s: float | None = None, idle_s: float | None = None) -> PoolConfig:
+        """How long to wait for a connection, and the age and idle time at which one is replaced; None for no limit."""
+        return replace(self, acquire_timeout_s=acquire_s, max_lifetime_s=lifetime_s, max_idle_s=idle_s)
+
+    def with_health_checks(self, on: bool) -> PoolConfig:
+        return replace(self, health_checks=on)
+
     def without_config_validation(self) -> PoolConfig:
         """Configurations added from here on are not checked."""
         return replace(self, checked=False)
 
-    def build(self, pages: DataFrame, behavior: BehaviorConfig | None = None) -> BrowserBackend:
+    def validate(self) -> PoolConfig:
         _need(bool(self.configs), "At least one WebDriver configuration is required")
         _need(self.max_size > 0, "Pool max_size must be greater than zero")
         _need(self.min_size <= self.max_size, "Pool min_size cannot be greater than max_size")
-        return BrowserBackend(pages, self, behavior or BehaviorConfig())
+        return self
+
+    def build(self, pages: DataFrame, behavior: BehaviorConfig | None = None) -> BrowserBackend:
+        return BrowserBackend(pages, self.validate(), behavior or BehaviorConfig())
+
+    def drive(self, make, fetch, behavior: BehaviorConfig | None = None, **options):
+        """A back end that drives browsers: see ``pool.DriverBackend``. Without an endpoint there is the default one."""
+        from tidewheel.sources.pool import DriverBackend
+
+        own = self if self.configs else replace(self, configs=(BrowserConfig(),))
+        return DriverBackend(own.validate(), make, fetch, behavior=behavior or BehaviorConfig(), **options)
 
     def select(self, seq: int) -> BrowserConfig:
         return self.configs[seq % len(self.configs)]
@@ -139,11 +159,14 @@ class BrowserBackend:
 
     def __call__(self, requests: DataFrame) -> DataFrame:
         b = self.behavior
-        html = F.col("html")
-        inner = view(html, F.col("uri"))["text"] if b.extract_text and not b.extract_html else F.lit(None).cast("string")
-        stored = self.pages.select("uri", browser_content(html, inner, b.extract_html, b.extract_text, b.max_response_size).cast("binary").alias("body"))
         kind = F.create_map(F.lit("content-type"), F.array(F.lit("text/html; charset=utf-8")))
-        got = TableBackend(stored.withColumn("headers", kind), miss_status=0)(requests)
+        stored = self.pages.select("uri", F.col("html").cast("binary").alias("body"), kind.alias("headers"))
+        got = TableBackend(stored, miss_status=0)(requests)
         missed = F.col("status") == 0
+        html = F.col("response_body").cast("string")
+        # pages are parsed once they are joined: only those that were asked for
+        inner = view(html, F.col("uri"))["text"] if b.extract_text and not b.extract_html else F.lit(None).cast("string")
         why = F.concat(F.lit("Navigation to '"), F.col("uri"), F.lit("' failed: Network error"))
-        return got.withColumn("connect_error", F.when(missed, why)).withColumn("status", F.when(~missed, F.col("status")))
+        return got.withColumns({
+            "connect_error": F.when(missed, why), "status": F.when(~missed, F.col("status")), "response_body": browser_content(html, inner, b.extract_html, b.extract_text, b.max_response_size).cast("binary"),
+        })
