@@ -1,6 +1,7 @@
 import pytest
 
 from tests.oracle import agree, connect
+from tidewheel.plans import operator_queries  # noqa: F401
 from tidewheel.plans.queries import ORACLES, QUERIES
 
 

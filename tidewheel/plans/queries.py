@@ -210,7 +210,8 @@ def queue_rules(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-_VALID = frontier._URI.replace("'", "''")
+# written by hand: no white space, controls or signs that an address must escape
+_VALID = r"^[^\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x00-\x1f<>\"\\\\^`{|}]+$"
 
 
 @query(rf"""SELECT seq, url AS uri, 'GET' AS method FROM page_data WHERE regexp_matches(url, '{_VALID}') AND NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[/?#]|\z)')""")
@@ -440,7 +441,9 @@ def error_kinds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "page_content").groupBy(errors.infer_kind(F.col("title")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{c}', '{m}', {str(r).lower()})" for k, (c, m, r) in errors.BROWSER_ERRORS.items() if k != "navigation_error") + """, ('navigation_error', 'navigation', 'http', true)) t(name, category, kind, retryable)""")
+@query("""SELECT * FROM (VALUES ('connection_failed', 'connection', 'http', true), ('webdriver', 'webdriver', 'backend', false), ('invalid_session', 'session', 'backend', false), ('timeout', 'timeout', 'timeout', true),
+    ('pool_exhausted', 'pool', 'backend', true), ('configuration', 'config', 'backend', false), ('process_error', 'process', 'backend', false), ('element_error', 'element', 'worker', false), ('navigation_error', 'navigation', 'http', true),
+    ('javascript_error', 'script', 'worker', false), ('resource_error', 'resource', 'io', true), ('capability_error', 'capability', 'backend', false), ('operation_failed', 'operation', 'backend', true)) t(name, category, kind, retryable)""")
 def browser_errors(spark: SparkSession, d: str) -> DataFrame:
     """Category, kind and retryability of each browser error; the navigation error is one with status 503."""
     rows = spark.createDataFrame([(k,) for k in errors.BROWSER_ERRORS], "name string")
