@@ -1,9 +1,10 @@
 """Reading level of each document's spoken text by a familiar-word formula.
 
-A word is familiar if it stands in at least ``familiar`` of a language's documents, and a word at all if it stands in at
-least ``noise`` of them: recognition and encoding errors do not repeat that often. The formula weighs the share of
-unfamiliar words (at several thresholds) and the average sentence length; its weights, for each level and language, are
-fitted to labelled documents by linear discriminants.
+A word is familiar if it stands in at least ``familiar`` of a language's documents; all others are unfamiliar. The formula
+weighs the share of unfamiliar words (at several thresholds) and the average sentence length. Recognition and encoding errors
+are words in under ``noise`` of the documents, as hard words may be: how many of a text's words are that rare is a share of its
+own, so that the labels tell what it is worth. The weights, for each level and language, are fitted to labelled documents by
+linear discriminants.
 
 Document frequencies cover all documents. The lists that are broadcast hold words in at least ``noise`` of a language's
 documents, for languages of at least ``least_language`` of the documents: at most (words of a document) / (``noise`` x
@@ -17,15 +18,18 @@ import re
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import cut
 from tidewheel.llm.mojibake import Detector
 
-NOISE = 0.05
+NOISE = 0.01
 FAMILIAR = (0.2, 0.35, 0.5)
-LEAST_LANGUAGE = 0.005
+#: Features beside those shares: of unlisted words, mean log frequency, sentence length.
+EXTRA = 3
+LEAST_LANGUAGE = 0.001
 #: Labelled documents that the weights are fitted to, at most; the smallest by a hash of their id.
 FIT_ROWS = 50_000
 #: A sentence below this length is a call or an answer and says nothing about the style, unless there are no others.
@@ -113,49 +117,83 @@ def spoken(documents: DataFrame, key: str = "doc_id", text: str = "text", langua
 
 
 def word_lists(said: DataFrame, noise: float = NOISE, least_language: float = LEAST_LANGUAGE) -> dict[str, dict[str, float]]:
-    """Document frequency shares of each language's words, of those from ``noise`` on; over all documents."""
-    sizes = said.groupBy("label").count().collect()
-    total = sum(r["count"] for r in sizes)
-    big = {r["label"]: r["count"] for r in sizes if r["label"] is not None and r["count"] >= max(1, least_language * total)}
-    if not big:
-        return {}
-    least = said.sparkSession.createDataFrame([(k, max(2.0, noise * n)) for k, n in big.items()], "label string, least double")
-    words = said.where(F.col("label").isin(*big)).select("label", F.explode(F.array_distinct("words")).alias("word"))
-    counted = words.groupBy("label", "word").count().join(F.broadcast(least), "label").where(F.col("count") >= F.col("least"))
+    """Document frequency shares of each language's words, of those from ``noise`` on; over all documents.
+
+    Labels and words are filtered where they are counted: what comes to the driver is what is kept.
+    """
+    sizes = said.where(F.col("label").isNotNull()).groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    total = said.count()
+    big = F.broadcast(sizes.where(F.col("size") >= max(1.0, least_language * total)))  # at most 1 / least_language rows
+    words = said.join(big, "label").select("label", "size", F.explode(F.array_distinct("words")).alias("word"))
+    counted = words.groupBy("label", "size", "word").count().where((F.col("count") >= 2) & (F.col("count") >= noise * F.col("size")))
     lists: dict[str, dict[str, float]] = {}
-    for r in counted.collect():
-        lists.setdefault(r["label"], {})[r["word"]] = r["count"] / big[r["label"]]
+    for r in counted.select("label", "word", (F.col("count") / F.col("size")).alias("share")).collect():
+        lists.setdefault(r["label"], {})[r["word"]] = r["share"]
     return lists
 
 
-_FEATURES = "doc_id long, language string, known double, " + ", ".join(f"f{i} double" for i in range(len(FAMILIAR) + 2))
+_FEATURES = "doc_id long, language string, known double, " + ", ".join(f"f{i} double" for i in range(EXTRA + len(FAMILIAR)))
 
 
 def features(said: DataFrame, shared, familiar: tuple[float, ...] = FAMILIAR) -> DataFrame:
-    """Of each document its language by its words (the label may be wrong), shares of unfamiliar words, mean log frequency and sentence length."""
+    """Of each document its language by its words (the label may be wrong), shares of unfamiliar words, mean log frequency and sentence length.
+
+    A word is looked up once a batch and language; what is done by document is done for all of a batch at a time.
+    """
 
     def work(batches):
-        lists = sorted(shared.value.items())
+        names = sorted(shared.value)
         for b in batches:
-            out: list[list] = [[] for _ in range(3 + len(familiar) + 2)]
-            for key, label, words, lengths in zip(*(b.column(i).to_pylist() for i in range(4))):
-                best, shares = None, []
-                own = next((v for k, v in lists if k == label), {})
-                hits = [own[w] for w in words if w in own]
-                if len(hits) >= 0.6 * len(words):
-                    best, shares = label, hits
-                else:
-                    for name, known in lists:
-                        hits = [known[w] for w in words if w in known]
-                        if len(hits) > len(shares):
-                            best, shares = name, hits
-                s = np.array(shares) if shares else np.ones(1)
-                n = np.array(lengths)
-                long = n[n >= SHORT]
-                row = [key, best, len(shares) / len(words), *((s < f).mean() for f in familiar), np.log(s).mean(), np.log((long if len(long) else n).mean())]
-                for o, v in zip(out, row):
-                    o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), *(pa.array(o, pa.float64()) for o in out[2:])], names=[c.split()[0] for c in _FEATURES.split(", ")])
+            n = len(b)
+            if not n:
+                continue
+            words, labels = b.column(2), b.column(1).to_pylist()
+            size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = words.flatten().dictionary_encode()
+            codes, texts = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+            of = np.repeat(np.arange(n), size)
+            known: dict[str, np.ndarray] = {}
+
+            def shares(name: str) -> np.ndarray:
+                if name not in known:
+                    own = shared.value[name]
+                    known[name] = np.array([own.get(t, 0.0) for t in texts])
+                return known[name]
+
+            own = np.array([names.index(x) if x in shared.value else -1 for x in labels])
+            best, hits, share = np.full(n, -1), np.zeros(n), np.zeros(len(codes))
+
+            def take(docs: np.ndarray, number: int) -> None:
+                """Lets a language have those of ``docs`` of whose words it knows more than the best one yet."""
+                at = docs[of]
+                s = shares(names[number])[codes[at]]
+                got = np.bincount(of[at], weights=s > 0, minlength=n)
+                better = docs & (got > hits)
+                best[better], hits[better] = number, got[better]
+                share[better[of]] = shares(names[number])[codes[better[of]]]
+
+            for number in np.unique(own[own >= 0]):
+                take(own == number, number)
+            rest = (own < 0) | (hits < 0.6 * size)
+            hits[rest], best[rest] = 0, -1
+            if rest.any():
+                for number in range(len(names)):
+                    take(rest, number)
+            share[(best < 0)[of]] = 0
+            listed = share > 0
+            count = np.maximum(1, hits)
+            # outside the list of familiar words are the rarer listed ones and the unlisted; the share of these is told apart
+            rows = [np.bincount(of, weights=share < f, minlength=n) / size for f in familiar]
+            rows.append(1 - hits / size)
+            rows.append(np.bincount(of, weights=np.log(np.where(listed, share, 1)), minlength=n) / count)
+            lengths = b.column(3)
+            number = pc.list_value_length(lengths).to_numpy(zero_copy_only=False).astype(np.int64)
+            each, to = lengths.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(n), number)
+            long = np.bincount(to, weights=each >= SHORT, minlength=n)
+            mean = np.where(long > 0, np.bincount(to, weights=each * (each >= SHORT), minlength=n) / np.maximum(1, long), np.bincount(to, weights=each, minlength=n) / np.maximum(1, number))
+            rows.append(np.log(mean))
+            language = pa.array([names[i] if i >= 0 else None for i in best], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), language, pa.array(hits / np.maximum(1, size)), *(pa.array(x) for x in rows)], names=[c.split()[0] for c in _FEATURES.split(", ")])
 
     return said.mapInArrow(work, _FEATURES)
 
@@ -172,7 +210,7 @@ def discriminants(x: np.ndarray, y: np.ndarray) -> tuple[list[int], np.ndarray,
 
 def fit(labelled: list, least: int = 60) -> dict:
     """Weights by language (at least ``least`` labels), over all, and by sentence length alone. ``labelled``: rows of features and ``level``."""
-    x = np.array([[r[f"f{i}"] for i in range(len(FAMILIAR) + 2)] for r in labelled])
+    x = np.array([[r[f"f{i}"] for i in range(EXTRA + len(FAMILIAR))] for r in labelled])
     y = np.array([r["level"] for r in labelled])
     by: dict[str, list[int]] = {}
     for i, r in enumerate(labelled):
@@ -190,13 +228,14 @@ def levels(found: DataFrame, shared_model) -> DataFrame:
     def work(batches):
         model = shared_model.value
         for b in batches:
-            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3, 5 + len(FAMILIAR))]) if len(b) else np.zeros((0, len(FAMILIAR) + 2))
+            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3, 3 + EXTRA + len(FAMILIAR))]) if len(b) else np.zeros((0, EXTRA + len(FAMILIAR)))
             language, known = b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False)
+            use = np.array([(k if k in model["language"] else "") if n >= 0.3 and (k in model["language"] or model["all"]) else None for k, n in zip(language, known)], object)
             out = np.zeros(len(b), np.int64)
-            for i in range(len(b)):
-                m = (model["language"].get(language[i]) or model["all"]) if known[i] >= 0.3 else None
-                names, w, offset = m or model["length"]
-                out[i] = names[int(np.argmax(w @ (x[i] if m else x[i, -1:]) + offset))]
+            for k in set(use.tolist()):
+                at = np.array([u == k for u in use], bool)
+                names, w, offset = model["length"] if k is None else model["language"].get(k) or model["all"]
+                out[at] = np.array(names)[np.argmax((x[at] if k is not None else x[at, -1:]) @ w.T + offset, axis=1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["doc_id", "level"])
 
     return found.mapInArrow(work, "doc_id long, level long")
