@@ -51,6 +51,20 @@ def test_shares(spark, data):
     assert chosen.where("repeats > max_repeats or repeats < 1").count() == 0
 
 
+def test_weights_decide_how_often_documents_are_chosen(spark):
+    from pathlib import Path
+
+    d = "/root/testdata/sf0.01"
+    if not Path(d).exists():
+        pytest.skip("no test tables")
+    rows = [r for r in QUERIES["p8_inclusion"](spark, d).collect() if r["documents"] >= 30]
+    assert rows and all(abs(r["copies"] - r["expected_copies"]) <= 4 * max(1.0, r["expected_copies"]) ** 0.5 for r in rows)
+    per = {}
+    for r in rows:
+        per.setdefault(r["source"], []).append((r["weight_from"], r["expected_copies"] / r["documents"]))
+    assert any(max(v)[1] > 1.3 * min(v)[1] for v in per.values() if len(v) > 1)
+
+
 def test_levels_of_unlabelled_documents(spark, data):
     got = QUERIES["p9_found"](spark, data)
     assert got.where("level between 1 and 5").count() == got.count() > 0

@@ -62,16 +62,15 @@ def _fingerprint(columns: list[str]) -> Column:
 def copies_of_first(df: DataFrame, canonical: dict[str, Canonical]) -> DataFrame:
     """(first_seq, seq) of each row that repeats an earlier one.
 
-    Once grouped, a spelling goes by its first ``seq`` and a fingerprint of its bytes instead of its text, which halves
-    what the joins back to rows exchange.
+    Once grouped on its full canonical text, a spelling goes by its first ``seq`` and by fingerprints of that text and of its
+    bytes instead of either, so neither join exchanges a text.
     """
     spellings, groups = collapse(df, canonical)
     canon = [c for c in groups.columns if c.startswith("_c")]
     raw = [c for c in spellings.columns if c.startswith("_r")]
-    same = lambda a, b, columns: [a[c].eqNullSafe(b[c]) for c in columns]
-    named = spellings.select(*canon, _fingerprint(raw).alias("_f"), "_first", "_n")
-    several = groups.where(F.col("copies") > 1)
-    placed = named.join(several, same(named, several, canon)).select("_f", "_first", "_n", "first_seq")
+    named = spellings.select(_fingerprint(canon).alias("_g"), _fingerprint(raw).alias("_f"), "_first", "_n")
+    several = groups.where(F.col("copies") > 1).select(_fingerprint(canon).alias("_g"), "first_seq")
+    placed = named.join(several, "_g").select("_f", "_first", "_n", "first_seq")
     single = placed.where((F.col("_n") == 1) & (F.col("_first") != F.col("first_seq"))).select("first_seq", F.col("_first").alias("seq"))
     repeated = placed.where(F.col("_n") > 1).select("_f", "first_seq")
     rows = df.select("seq", *[F.col(c).alias(r) for c, r in zip(canonical, raw)]).select("seq", _fingerprint(raw).alias("_f"))

@@ -10,7 +10,7 @@ only that bin (one in ``BINS`` documents) is ordered exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import cut
@@ -65,14 +65,22 @@ def allot(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = Non
     return out
 
 
+def _shared(sizes: DataFrame, plan: list[dict]) -> DataFrame:
+    return F.broadcast(sizes.sparkSession.createDataFrame([tuple(p[k.split()[0]] for k in _SHAPE.split(", ")) for p in plan], _SHAPE))
+
+
+def _expected() -> Column:
+    """Copies that a document's weight asks for."""
+    return F.least(F.col("max_repeats").cast("double"), F.col("per_weight") * F.col("weight"))
+
+
 def mix(sizes: DataFrame, plan: list[dict], seed: int = 7) -> DataFrame:
     """(doc_id, source, n_tokens, repeats) of the chosen documents; ``repeats`` is 1 to the source's cap.
 
     Each source comes within half a document of its need. Ties of the ranking value go by ``doc_id``.
     """
     spark = sizes.sparkSession
-    shares = F.broadcast(spark.createDataFrame([tuple(p[k.split()[0]] for k in _SHAPE.split(", ")) for p in plan], _SHAPE))
-    expected = F.least(F.col("max_repeats").cast("double"), F.col("per_weight") * F.col("weight"))
+    shares, expected = _shared(sizes, plan), _expected()
     base = F.floor(expected + F.lit(1e-9)).cast("long")
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(2**53))
     odds = lambda p: p / (1 - p)
@@ -105,6 +113,17 @@ def mix(sizes: DataFrame, plan: list[dict], seed: int = 7) -> DataFrame:
     return chosen.where(F.col("repeats") > 0).select("doc_id", "source", "n_tokens", "repeats")
 
 
+def inclusion(sizes: DataFrame, plan: list[dict], chosen: DataFrame) -> DataFrame:
+    """(source, weight_from, documents, expected_copies, copies): how often documents of like weight were to be and are chosen.
+
+    Classes are half powers of two of the weight; sources without documents give none.
+    """
+    step = F.floor(F.log2("weight") * 2)
+    both = sizes.where(F.col("weight") > 0).join(_shared(sizes, plan).drop("available"), "source").select("doc_id", "source", F.pow(F.lit(2.0), step / 2).alias("weight_from"), _expected().alias("_e"))
+    got = both.join(chosen.select("doc_id", "repeats"), "doc_id", "left")
+    return got.groupBy("source", "weight_from").agg(F.count(F.lit(1)).alias("documents"), F.sum("_e").alias("expected_copies"), F.coalesce(F.sum("repeats"), F.lit(0)).alias("copies"))
+
+
 def shares(chosen: DataFrame, plan: list[dict]) -> DataFrame:
     """Target and actual share, tokens, documents and copies of each listed source, those without documents included."""
     targets = chosen.sparkSession.createDataFrame([(p["source"], p["target_share"], p["max_repeats"], p["available"]) for p in plan], "source string, target_share double, max_repeats int, available_tokens long")

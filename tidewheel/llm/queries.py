@@ -56,7 +56,7 @@ def p1_forms(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_survivors(spark, d).select("group_id", "email_seq", "time_seq", "url_seq")
+    return survivor.best_rows(table(spark, d, "user_groups"), table(spark, d, "user_records"), table(spark, d, "source_trust"))
 
 
 @query
@@ -139,17 +139,18 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "text", ["doc_id"])
 
 
-def _mix_plan(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict]]:
+def _mix_plan(spark: SparkSession, d: str, weighted: bool = False) -> tuple[DataFrame, list[dict]]:
     targets = table(spark, d, "mix_targets")
     documents = table(spark, d, "documents").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
-    counted = tokens.count_tokens(documents, "text", ["doc_id", "source"]).withColumn("weight", F.lit(1.0))
-    sizes = mixing.sized(counted, targets)
+    counted = tokens.count_tokens(documents, "text", ["doc_id", "source"])
+    weight = F.sqrt(F.col("n_tokens")) if weighted else F.lit(1.0)
+    sizes = mixing.sized(counted.withColumn("weight", weight), targets)
     return sizes, mixing.allot(sizes, targets)
 
 
 @query
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    """The chosen documents with their repeats."""
+    """The chosen documents with their repeats; all documents of a source have the same odds."""
     return mixing.mix(*_mix_plan(spark, d))
 
 
@@ -160,6 +161,19 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(sizes, plan), plan)
 
 
+@query
+def p8_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """As p8_mix, with odds that rise with the square root of a document's tokens."""
+    return mixing.mix(*_mix_plan(spark, d, weighted=True))
+
+
+@query
+def p8_inclusion(spark: SparkSession, d: str) -> DataFrame:
+    """Copies of p8_weighted by source and weight, beside those that the weights ask for."""
+    sizes, plan = _mix_plan(spark, d, weighted=True)
+    return mixing.inclusion(sizes, plan, mixing.mix(sizes, plan))
+
+
 @query
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return readability.read_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
