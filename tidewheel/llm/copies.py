@@ -69,8 +69,9 @@ def copies_of_first(df: DataFrame, canonical: dict[str, Canonical]) -> DataFrame
     canon = [c for c in groups.columns if c.startswith("_c")]
     raw = [c for c in spellings.columns if c.startswith("_r")]
     named = spellings.select(_fingerprint(canon).alias("_g"), _fingerprint(raw).alias("_f"), "_first", "_n")
-    several = groups.where(F.col("copies") > 1).select(_fingerprint(canon).alias("_g"), "first_seq")
-    placed = named.join(several, "_g").select("_f", "_first", "_n", "first_seq")
+    several = groups.where(F.col("copies") > 1).select(_fingerprint(canon).alias("_h"), "first_seq")
+    # null-safe, though no fingerprint is null: a test for null would keep the two sides from sharing the first grouping
+    placed = named.join(several, F.col("_g").eqNullSafe(F.col("_h"))).select("_f", "_first", "_n", "first_seq")
     single = placed.where((F.col("_n") == 1) & (F.col("_first") != F.col("first_seq"))).select("first_seq", F.col("_first").alias("seq"))
     repeated = placed.where(F.col("_n") > 1).select("_f", "first_seq")
     rows = df.select("seq", *[F.col(c).alias(r) for c, r in zip(canonical, raw)]).select("seq", _fingerprint(raw).alias("_f"))
