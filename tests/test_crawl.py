@@ -265,3 +265,34 @@ def test_a_level_can_be_given_up(spark):
     run = c.run()
     timer.join()
     assert time.time() - began < 50 and run.total == 0 and [r["uri"] for r in run.left.collect()] == ["a"]
+
+
+def test_places_hold_whatever_the_partitions(spark):
+    """Partitions are coalesced by size, and the places' sort alone is smaller than that with the other columns."""
+    keys = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        rows = spark.range(20_000).select(((F.col("id") * 7919) % 20_000).alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+        got = frontier.ordered_by(rows, F.col("k"), name="place").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted((r["k"], r["place"]) for r in got) == [(i, i + 1) for i in range(20_000)]
+
+
+def test_a_large_level_is_not_broadcast(spark, monkeypatch):
+    from tidewheel.plans.queries import _follow
+    from tidewheel.sources.shared import cut
+
+    edges = spark.createDataFrame([("b", "x", "c", 1), ("b", "x", "d", 2), ("a", "x", "e", 3)], "uri string, child_tag string, child_uri string, child_pos bigint")
+    run = lambda: Client(spark, Router().fallback(_follow(edges)), NoopBackend(), order="lifo").run_once(seeds(spark, "a", "b", "c"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    small = run().left
+    monkeypatch.setattr(frontier, "MERGE_ROWS", 2, raising=False)
+    large = run().left
+    assert "SortMergeJoin" not in plan(small) and "SortMergeJoin [parent_seq" in plan(large)
+    assert [(r["uri"], r["path"]) for r in large.orderBy("seq").collect()] == [(r["uri"], r["path"]) for r in small.orderBy("seq").collect()] == [("e", [-1, -4]), ("c", [-2, -5]), ("d", [-2, -6])]
+    level = cut(frontier.settle(frontier.as_requests(seeds(spark, "a"))))
+    assert "SortMergeJoin [uri" in plan(_follow(edges)(level, level_rows=3).children) and "SortMergeJoin" not in plan(_follow(edges)(level, level_rows=2).children)

@@ -14,6 +14,9 @@ from tidewheel.functions.text import WHITE
 from tidewheel.sources.shared import cut
 from tidewheel.schemas import REQUEST_DDL, TAG, as_tag, depth_or_first, is_fallback, next_depth, schema, tag_or_fallback
 
+#: A join with a level of more requests than this is a sort-merge join, see :func:`for_join`.
+MERGE_ROWS = 100_000
+
 #: A URI has no white space or controls and is absolute, or a path.
 _URI = rf"^[^{WHITE}\x00-\x1f<>\"\\^`{{|}}]+\z"
 
@@ -102,16 +105,25 @@ def settle(requests: DataFrame) -> DataFrame:
     return requests.withColumns({"tag": tag_or_fallback(F.col("tag")), "depth": depth_or_first(F.col("depth"))})
 
 
-def ordered_by(df: DataFrame, *order: Column, start: int = 0, name: str = "seq", written: bool = False, folders: list[str] | None = None) -> DataFrame:
+def for_join(level: DataFrame, rows: int | None) -> DataFrame:
+    """``level``, or columns of it, as a side of a join: not broadcast if it has over ``MERGE_ROWS`` rows, or nobody knows how many.
+
+    A level's files are compressed and a few of its columns are a small share of them, so Spark takes it for far smaller
+    than it is, and a broadcast goes through the driver's memory.
+    """
+    return level.hint("merge") if rows is None or rows > MERGE_ROWS else level
+
+
+def ordered_by(df: DataFrame, *order: Column, start: int = 0, name: str = "seq", folders: list[str] | None = None) -> DataFrame:
     """``df`` with a dense place in ``order``, from ``start`` + 1, without gathering the rows in one task.
 
     Rows are sorted by range; each partition's rows are counted, the counts (one per partition) come to the driver, and
     each row gets its partition's offset plus its place in it. Ties keep an arbitrary order, so give a total one.
-    ``written``: the sorted rows are written to the shared folder, so that they are sorted once; the folder is added to ``folders``.
+    The sorted rows are written to the shared folder, which is added to ``folders``: the counts hold only for the partitions
+    that they were taken from, and a second sort may draw other bounds or have its partitions coalesced otherwise.
     """
     spark = df.sparkSession
-    part = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    part = cut(part, folders) if written else part
+    part = cut(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()), folders)
     counts = {r["_part"]: r["count"] for r in part.groupBy("_part").count().collect()}
     offsets, total = [], start
     for p in sorted(counts):

@@ -1,7 +1,8 @@
 """Routing by tag: each route is one branch over the frontier, declared once and planned by Catalyst.
 
 A handler is a function of the rows of its route (requests with response columns, ``body`` meaning the response's) that
-gives :class:`Handled`. It may set ``needs_body = False``: its rows are then not fetched.
+gives :class:`Handled`. It may set ``needs_body = False``: its rows are then not fetched. If it takes ``client`` it gets the
+back end, if ``level_rows`` the number of requests of the level at work (for ``frontier.for_join``).
 """
 
 from __future__ import annotations
@@ -150,7 +151,7 @@ def _with_state(handler: Handler, state) -> Handler:
     """Gives a handler the state, and parts of it to parameters that have their names (keys of a dict, attributes else)."""
     has = (lambda n: n in state) if isinstance(state, dict) else (lambda n: hasattr(state, n))
     part = (lambda n: state[n]) if isinstance(state, dict) else (lambda n: getattr(state, n))
-    given = {n: state if n == "state" else part(n) for n in parameters(handler) - {"rows", "client"} if n == "state" or has(n)}
+    given = {n: state if n == "state" else part(n) for n in parameters(handler) - {"rows", "client", "level_rows"} if n == "state" or has(n)}
     return partial(handler, **given) if given else handler
 
 

@@ -132,13 +132,14 @@ class Client:
             return self.backend(level).select(*level.columns, *RESPONSE_COLUMNS)
         return self.backend(level.where(needs)).select(*level.columns, *RESPONSE_COLUMNS).unionByName(level.where(~needs).withColumns(none))
 
-    def _level(self, level: DataFrame, now_us: int, folders: list[str]) -> tuple[DataFrame, dict[str, DataFrame], DataFrame | None, DataFrame]:
+    def _level(self, level: DataFrame, now_us: int, folders: list[str]) -> tuple[DataFrame, dict[str, DataFrame], DataFrame | None, DataFrame, int, int]:
         done = cut(self._fetched(level), folders)
+        count, top = done.agg(F.count(F.lit(1)), F.coalesce(F.max("seq"), F.lit(0))).first()
         rows: dict[str, list[DataFrame]] = {}
         children, outcomes = [], []
         for _, handler, branch in self.router.branches(done):
             view = branch.withColumn("request_body", F.col("body")).withColumn("body", F.col("response_body"))
-            asks = {"client": self.backend} if "client" in parameters(handler) else {}
+            asks = {k: v for k, v in (("client", self.backend), ("level_rows", count)) if k in parameters(handler)}
             got = handler(view.where(F.col("connect_error").isNull()), **asks)
             for name, df in got.rows.items():
                 rows.setdefault(name, []).append(df)
@@ -147,13 +148,15 @@ class Client:
             outcomes.append(outcome_rows(view, got).drop("connect_error"))
         union = lambda parts: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         out = union(outcomes).withColumn("at_us", F.lit(now_us).cast("bigint"))
-        return done, {k: union(v) for k, v in rows.items()}, union(children) if children else None, out
+        return done, {k: union(v) for k, v in rows.items()}, union(children) if children else None, out, count, top
 
-    def _place(self, children: DataFrame, level: DataFrame, after: int, folders: list[str]) -> DataFrame:
+    def _place(self, children: DataFrame, level: DataFrame, level_rows: int, after: int, folders: list[str]) -> DataFrame:
         """Children in queue order: by their parent's place, then by their place among its children."""
-        placed = frontier.ordered_by(children.drop("seq"), F.col("parent_seq"), F.col("child_pos"), F.col("uri"), start=after, written=True, folders=folders)
-        if self.order == "lifo":
-            paths = level.select(F.col("seq").alias("parent_seq"), F.col("path").alias("_up"))
+        placed = frontier.ordered_by(children.drop("seq"), F.col("parent_seq"), F.col("child_pos"), F.col("uri"), start=after, folders=folders)
+        if self.order == "lifo" and placed.isEmpty():
+            placed = placed.withColumn("path", F.lit(None).cast("array<bigint>"))
+        elif self.order == "lifo":
+            paths = frontier.for_join(level.select(F.col("seq").alias("parent_seq"), F.col("path").alias("_up")), level_rows)
             placed = placed.join(paths, "parent_seq", "left").withColumn("path", F.concat(F.coalesce(F.col("_up"), F.array().cast("array<bigint>")), F.array(-F.col("seq")))).drop("_up")
         return placed.drop("parent_tag", "parent_depth", "child_pos")
 
@@ -208,8 +211,7 @@ class Client:
             try:
                 if self.honor_deferral and outcomes:
                     self._wait(now, reduce(DataFrame.unionByName, outcomes))
-                done, got, children, out = self._level(now, self.clock(), kept)
-                count, top = done.agg(F.count(F.lit(1)), F.coalesce(F.max("seq"), F.lit(0))).first()
+                done, got, children, out, count, top = self._level(now, self.clock(), kept)
                 if not count:
                     level = now.limit(0)
                     break
@@ -218,7 +220,7 @@ class Client:
                 if children is not None:
                     if self.on_fail == "abort":
                         children = self._without_aborted(children, out)
-                    nxt = frontier.settle(self._place(children, done, max(top, last), passing))
+                    nxt = frontier.settle(self._place(children, done, count, max(top, last), passing))
                     if self.dedup == "uri":
                         seen = visited.append(done.select("uri"))
                         nxt = cut(frontier.unseen(nxt, seen).select(*nxt.columns), passing)
@@ -253,9 +255,8 @@ class Client:
         if self.order == "lifo":
             level = level.withColumn("path", F.array(-F.col("seq")))
         kept: list[str] = []
-        done, rows, children, out = self._level(level, self.clock(), kept)
-        total, last = done.agg(F.count(F.lit(1)), F.coalesce(F.max("seq"), F.lit(0))).first()
-        left = frontier.empty(self.spark) if children is None else frontier.settle(self._place(children, done, last, kept))
+        done, rows, children, out, total, last = self._level(level, self.clock(), kept)
+        left = frontier.empty(self.spark) if children is None else frontier.settle(self._place(children, done, total, last, kept))
         return Run(rows, done.select(*[f.name for f in schema(REQUEST_DDL)]), out, left, 1, total, int((time.time() - began) * 1000), self.spark, kept)
 
     def _wait(self, level: DataFrame, outcomes: DataFrame) -> None:

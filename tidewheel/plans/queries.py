@@ -263,8 +263,8 @@ def _entity_edges(spark: SparkSession, d: str) -> DataFrame:
 def _follow(edges: DataFrame, given: Column | None = None):
     """A handler that queues the children that ``edges`` has for a row, one level deeper, and writes the row."""
 
-    def handler(rows: DataFrame) -> Handled:
-        up = rows.select(F.col("seq").alias("parent_seq"), F.col("tag").alias("parent_tag"), F.col("depth").alias("parent_depth"), "uri")
+    def handler(rows: DataFrame, level_rows: int | None = None) -> Handled:
+        up = frontier.for_join(rows.select(F.col("seq").alias("parent_seq"), F.col("tag").alias("parent_tag"), F.col("depth").alias("parent_depth"), "uri"), level_rows)
         below = up.join(edges, "uri").drop("uri").withColumnRenamed("child_uri", "uri")
         asked = below.select("parent_seq", "parent_tag", "parent_depth", "child_pos", "uri", F.lit("GET").alias("method"), F.lit("HTTP/1.1").alias("version"), F.lit(None).cast("bigint").alias("seq"), tag_str(F.col("child_tag")).cast(TAG).alias("tag"), F.lit(None).cast("bigint").alias("depth"), F.lit(None).cast("map<string,array<string>>").alias("headers"), F.lit(b"").alias("body"))
         return Handled(rows={"visits": rows.select("seq", "uri", F.col("tag.name").alias("kind"), "depth")}, children=frontier.in_handler().branch(asked), flow=given)
@@ -325,7 +325,7 @@ def crawl_abort(spark: SparkSession, d: str) -> DataFrame:
 def crawl_depth_first(spark: SparkSession, d: str) -> DataFrame:
     """The order in which a stack would visit the whole entity graph."""
     run = Client(spark, Router().fallback(_follow(_entity_edges(spark, d))), NoopBackend(), order="lifo").with_request_queue(_regions(spark, d)).run()
-    return frontier.ordered_by(run.requests.select("uri", "path"), F.col("path"), name="visit").select("uri", "visit")
+    return frontier.ordered_by(run.requests.select("uri", "path"), F.col("path"), name="visit", folders=run.folders).select("uri", "visit")
 
 
 @query("""WITH s AS (SELECT CAST(ceil(count(*) / 40.0) AS BIGINT) AS step FROM supplier)
